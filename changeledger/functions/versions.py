@@ -37,8 +37,9 @@ def version_key(version: Column) -> Column:
 
     tokens = F.regexp_extract_all(F.lower(version), F.lit("[0-9]+|[a-z]+"), F.lit(0))
     joined = F.array_join(F.transform(tokens, token), SEP)
-    key = F.regexp_replace(joined, rf"(?:{SEP}00000)+\z", "")
-    return F.when(is_valid_version(version), key)
+    trimmed = F.regexp_replace(joined, rf"(?:{SEP}00000)+\z", "")
+    return F.when(is_valid_version(version),
+                  F.when(version.endswith("0"), trimmed).otherwise(joined))
 
 
 def version_key_of(version: str) -> str:

@@ -9,9 +9,20 @@ from changeledger.schema import UNDO_SQL
 
 
 def item_key() -> Column:
-    """Identity of an item: the version's value, or the script when there is none."""
+    """Identity of an item: the version's value, or the script when there is none.
+
+    Never NULL, so that joins on it need no null check, which would evaluate the
+    key a second time below the join.
+    """
     return F.coalesce(F.concat(F.lit("v"), F.col("vsort")),
-                      F.concat(F.lit("s"), F.col("script")))
+                      F.concat(F.lit("s"), F.col("script")), F.lit("s"))
+
+
+def _with_target(df: DataFrame) -> DataFrame:
+    """State that every row has a target, as the schema demands.  Joins on it would
+    add the same check to one of two uses of an aggregate, and the aggregate would
+    then be computed twice instead of once."""
+    return df.filter(F.col("target").isNotNull())
 
 
 def _with_missing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -24,7 +35,7 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     Needs target, script, kind, version, description, checksum.  ``vsort`` and
     ``dir_vsort`` that are already stored are used as they are.
     """
-    df = _with_missing(catalog, {"dir_version": F.lit(None).cast("string"),
+    df = _with_missing(_with_target(catalog), {"dir_version": F.lit(None).cast("string"),
                                  "vsort": version_key(F.col("version"))})
     df = _with_missing(df, {"dir_vsort": version_key(F.col("dir_version"))})
     return _with_missing(df, {"item_key": item_key()})
@@ -32,7 +43,7 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
 
 def prepare_ledger(ledger: DataFrame) -> DataFrame:
     """Read an empty version as none and add ``vsort`` and ``item_key``."""
-    df = ledger.withColumn("version", F.nullif(F.col("version"), F.lit("")))
+    df = _with_target(ledger).withColumn("version", F.nullif(F.col("version"), F.lit("")))
     df = _with_missing(df, {"vsort": version_key(F.col("version"))})
     return _with_missing(df, {"item_key": item_key()})
 

@@ -1,0 +1,66 @@
+import pytest
+from pyspark.sql import functions as F
+
+from changeledger.functions.selection import VersionSelection
+from changeledger.functions.versions import version_key
+from changeledger.operators.pending import range_end_warning, selection_without_hit
+from changeledger.schema import LedgerError
+
+
+def chosen(spark, versions, selection):
+    df = spark.createDataFrame([(v, d) for v, d in versions], "version string, dir_version string")
+    df = df.withColumn("vsort", version_key(F.col("version"))).withColumn(
+        "dir_vsort", version_key(F.col("dir_version")))
+    return [r.version for r in df.filter(selection.predicate()).collect()]
+
+
+def files(*versions):
+    return [(v, None) for v in versions]
+
+
+def test_modes(spark):
+    some = files("20230531.1", "20230531.2", "202305310.1", "20230727.1", None)
+    assert chosen(spark, some, VersionSelection(mode="family", target="20230531")) == ["20230531.1", "20230531.2"]
+    assert chosen(spark, some, VersionSelection()) == [v for v, _ in some]
+    assert chosen(spark, some, VersionSelection(target="20230531.02")) == ["20230531.2"]
+    more = files("20230531.1", "20230727.1", "20230727.9", "20230801.1", None)
+    between = dict(start="20230531", end="20230727")
+    assert chosen(spark, more, VersionSelection(mode="family-range", **between)) == [
+        "20230531.1", "20230727.1", "20230727.9"]
+    assert chosen(spark, more, VersionSelection(**between)) == ["20230531.1"]
+    assert chosen(spark, more, VersionSelection(start="20230727.5")) == ["20230727.9", "20230801.1"]
+    assert chosen(spark, more, VersionSelection(end="20230727.1")) == ["20230531.1", "20230727.1"]
+    assert chosen(spark, more, VersionSelection(mode="regex", regex=r"^20230531\.\d+$")) == ["20230531.1"]
+    assert chosen(spark, more, VersionSelection(mode="regex", regex=r"20230")) == []
+
+
+def test_directory_source(spark):
+    rows = [("20230531.1", "20230531"), ("20230531.2", "20230531"), ("20230727.1", "20230727")]
+    assert chosen(spark, rows, VersionSelection(target="20230531", by_directory=True)) == [
+        "20230531.1", "20230531.2"]
+    assert chosen(spark, rows, VersionSelection(target="20230531")) == []
+
+
+@pytest.mark.parametrize("arguments", [
+    dict(regex="x"), dict(mode="regex"), dict(mode="exact"), dict(mode="family", start="1"),
+    dict(mode="range", target="1"), dict(target="1", end="2"), dict(start="2", end="1"),
+    dict(mode="nothing"), dict(target="x"), dict(mode="regex", regex="a", target="1")])
+def test_bad_arguments(arguments):
+    with pytest.raises(LedgerError):
+        VersionSelection(**arguments)
+
+
+def test_without_hit(catalog):
+    items = catalog(("a", "V", "1", 1), ("b", "V", "2", 1), ("b", "U", "1", 1))
+    found = selection_without_hit(items, VersionSelection(target="1")).collect()
+    assert [(r.target, r.code) for r in found] == [("b", "2001")]
+    assert selection_without_hit(items, VersionSelection(start="9")).count() == 0
+
+
+def test_range_end_warning(catalog):
+    items = catalog(*[("a", "V", f"2.{i}", 1) for i in range(12, 0, -1)], ("a", "V", "1", 1),
+                    ("a", "V", "3", 1), ("a", "U", "2.50", 1), ("b", "V", "1", 1), ("b", "V", "02.1.0", 1))
+    found = {r.target: (r.versions, r.left_out) for r in
+             range_end_warning(items, VersionSelection(end="2")).collect()}
+    assert found == {"a": (["2.1", "2.2", "2.3", "2.4", "2.5"], 12), "b": (["02.1.0"], 1)}
+    assert range_end_warning(items, VersionSelection(mode="family-range", end="2")).count() == 0

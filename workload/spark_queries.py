@@ -188,7 +188,7 @@ def version_order(spark, sf):
                        F.col("l_partkey").cast("string"))
     rows = fx.table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("flag"), version.alias("version"))
-    keyed = rows.withColumn("vsort", version_key(F.col("version")))
+    keyed = rows.distinct().withColumn("vsort", version_key(F.col("version")))
     # One row per version first: a hot flag meets no large distinct set.
     once = keyed.groupBy("flag", "vsort").agg(F.min("version").alias("version"))
     return once.groupBy("flag").agg(
