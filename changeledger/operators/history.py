@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changeledger.functions.versions import version_key_of
@@ -14,6 +16,12 @@ from changeledger.schema import (
 MAX_INT = 2 ** 31 - 1
 
 
+def _moment(installed_on: datetime | Column | None) -> Column:
+    if installed_on is None:
+        return F.current_timestamp()
+    return F.lit(installed_on) if isinstance(installed_on, datetime) else installed_on
+
+
 def highest_rank(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("target").agg(F.max("installed_rank").alias("highest_rank"))
 
@@ -21,7 +29,7 @@ def highest_rank(ledger: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ baseline
 
 def baseline(targets: DataFrame, ledger: DataFrame, version: str = BASELINE_VERSION,
-             installed_by: str = "", installed_on: Column | None = None
+             installed_by: str = "", installed_on: datetime | Column | None = None
              ) -> tuple[DataFrame, DataFrame]:
     """(records, problems): a baseline record for every target without records,
     and a 2007 row for every other target."""
@@ -33,7 +41,7 @@ def baseline(targets: DataFrame, ledger: DataFrame, version: str = BASELINE_VERS
         F.lit(BASELINE_DESCRIPTION).alias("description"), F.lit(BASELINE).alias("type"),
         F.lit(BASELINE_SCRIPT).alias("script"), F.lit(None).cast("int").alias("checksum"),
         F.lit(installed_by).alias("installed_by"),
-        (F.current_timestamp() if installed_on is None else installed_on).alias("installed_on"),
+        _moment(installed_on).alias("installed_on"),
         F.lit(0).alias("execution_time"), F.lit(True).alias("success"))
     problems = asked.join(used, "target", "left_semi").select(
         "target", F.lit(BASELINE_NOT_EMPTY).alias("code"), F.lit(BASELINE_SCRIPT).alias("script"),
@@ -55,7 +63,7 @@ def executed(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def record_outcomes(plan: DataFrame, outcomes: DataFrame, targets: DataFrame, ledger: DataFrame,
-                    installed_by: str = "", installed_on: Column | None = None) -> DataFrame:
+                    installed_by: str = "", installed_on: datetime | Column | None = None) -> DataFrame:
     """Ledger records of a run, with the next free ranks in run order.
 
     ``outcomes``: target, script, success, elapsed_ms.  ``targets``: target,
@@ -71,7 +79,7 @@ def record_outcomes(plan: DataFrame, outcomes: DataFrame, targets: DataFrame, le
         "target", rank.alias("installed_rank"), "version", "description",
         F.when(F.col("kind") == UNDO_SQL, UNDO_SQL).otherwise(SQL).alias("type"),
         "script", "checksum", F.lit(installed_by).alias("installed_by"),
-        (F.current_timestamp() if installed_on is None else installed_on).alias("installed_on"),
+        _moment(installed_on).alias("installed_on"),
         F.least(F.col("elapsed_ms"), F.lit(MAX_INT)).cast("int").alias("execution_time"),
         "success")
 

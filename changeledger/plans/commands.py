@@ -7,6 +7,7 @@ a target with a problem does not stop the others.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -94,13 +95,13 @@ class Reconciler:
     # ------------------------------------------------------------- changing
 
     def record(self, outcomes: DataFrame, plan: DataFrame | None = None, installed_by: str = "",
-               installed_on: Column | None = None) -> DataFrame:
+               installed_on: datetime | Column | None = None) -> DataFrame:
         """Records to append after running ``plan`` (by default ``self.plan()``)."""
         return history.record_outcomes(self.plan() if plan is None else plan, outcomes,
                                        self._targets(), self.ledger, installed_by, installed_on)
 
     def baseline(self, version: str = "1", installed_by: str = "",
-                 installed_on: Column | None = None) -> tuple[DataFrame, DataFrame]:
+                 installed_on: datetime | Column | None = None) -> tuple[DataFrame, DataFrame]:
         return history.baseline(self._targets(), self.ledger, version, installed_by, installed_on)
 
     def undo(self) -> tuple[DataFrame, DataFrame]:

@@ -1,0 +1,38 @@
+"""Every registered query against its SQL on the smallest tables."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_points
+import check
+
+SF = "/root/testdata/sf0.001"
+SQL = entry_points.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def database():
+    db = duckdb.connect()
+    for name in check.TABLES:
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    return db
+
+
+def test_only_checksum_lacks_sql():
+    assert set(entry_points.queries()) - set(SQL) == {"checksum"}
+    assert set(SQL) <= set(entry_points.queries())
+
+
+@pytest.mark.parametrize("name", list(entry_points.queries()))
+def test_query(spark, database, name):
+    found = entry_points.queries()[name](spark, SF).toPandas()
+    if name in SQL:
+        expected = database.execute(SQL[name]).df()
+        assert sorted(found.columns) == sorted(expected.columns)
+        assert check.rows_of(found) == check.rows_of(expected)
+    else:
+        assert len(found) > 0
+
+
+def test_entry(spark):
+    assert entry_points.entry(spark).count() > 0
