@@ -1,10 +1,21 @@
-"""Array helpers for work that stays inside one row."""
+"""Helpers for work that stays inside one row."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def add_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` for costly expressions that are used in several places.
+
+    The optimizer copies an ordinary column into every filter and expression
+    that refers to it.  The output of a generator is not copied, so the
+    expressions run once per row.
+    """
+    fields = F.struct(*(column.alias(name) for name, column in columns.items()))
+    return df.select("*", F.inline(F.array(fields))) if columns else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from changeledger.functions.arrays import add_once
 from changeledger.functions.checksum import script_checksum
 from changeledger.functions.paths import (
     DIRECTORY_VERSION_PATTERN, Naming, PathFilter, directory_version)
@@ -21,10 +22,9 @@ CATALOG_COLUMNS = ["target", "script", "kind", "version", "vsort", "dir_version"
 def classify(scripts: DataFrame, naming: Naming = Naming()) -> DataFrame:
     """Add kind, version, vsort and description, read from the file name."""
     script = F.col("script")
-    return (scripts.withColumn("kind", naming.kind(script))
-            .withColumn("version", naming.version(script))
-            .withColumn("vsort", version_key(F.col("version")))
-            .withColumn("description", naming.description(script)))
+    named = add_once(scripts, {"kind": naming.kind(script), "version": naming.version(script),
+                               "description": naming.description(script)})
+    return add_once(named, {"vsort": version_key(F.col("version"))})
 
 
 def build_catalog(scripts: DataFrame, path_filter: PathFilter = PathFilter(),
@@ -35,16 +35,13 @@ def build_catalog(scripts: DataFrame, path_filter: PathFilter = PathFilter(),
 
     ``directory_versions`` reads a version from the folder as well and asks each
     versioned file to belong to its family.  ``content`` is reduced to its
-    checksum here and does not reach a shuffle.
+    checksum here, is not read for the problems, and does not reach a shuffle.
     """
     df = classify(scripts.filter(path_filter.matches(F.col("script"))), naming)
-    df = df.withColumn("checksum", script_checksum(F.col("content"))).drop("content")
     versioned = F.col("kind").isin(SQL, UNDO_SQL)
-    no_version = F.lit(None).cast("string")
-    df = df.withColumn("dir_version", F.when(
-        versioned, directory_version(F.col("script"), directory_regex))
-        if directory_versions else no_version)
-    df = df.withColumn("dir_vsort", version_key(F.col("dir_version")))
+    folder = directory_version(F.col("script"), directory_regex) if directory_versions else None
+    df = add_once(df, {"dir_version": F.when(versioned, folder).cast("string")})
+    df = add_once(df, {"dir_vsort": version_key(F.col("dir_version"))})
 
     no_directory = F.lit(directory_versions) & versioned & F.col("dir_vsort").isNull()
     foreign = F.lit(directory_versions) & versioned & ~in_family(F.col("vsort"), F.col("dir_vsort"))
@@ -55,10 +52,11 @@ def build_catalog(scripts: DataFrame, path_filter: PathFilter = PathFilter(),
               .when(no_directory, "no version in the directory")
               .otherwise(F.concat(F.col("version"), F.lit(" is not in directory version "),
                                   F.col("dir_version"))))
-    df = df.withColumn("code", code)
+    df = add_once(df, {"code": code, "detail": detail})
     usable = df.filter(F.col("code").isNull() & F.col("kind").isin(SQL, UNDO_SQL, REPEATABLE))
-    catalog = usable.withColumn("item_key", item_key()).select(*CATALOG_COLUMNS)
-    bad = df.filter(F.col("code").isNotNull()).withColumn("detail", detail)
+    catalog = usable.withColumn("checksum", script_checksum(F.col("content"))) \
+        .withColumn("item_key", item_key()).select(*CATALOG_COLUMNS)
+    bad = df.filter(F.col("code").isNotNull())
     return catalog, bad.select(*PROBLEM_COLUMNS).unionByName(duplicate_versions(catalog))
 
 

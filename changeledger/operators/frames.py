@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from changeledger.functions.arrays import add_once
 from changeledger.functions.versions import version_key
 from changeledger.schema import UNDO_SQL
 
@@ -26,7 +27,7 @@ def _with_target(df: DataFrame) -> DataFrame:
 
 
 def _with_missing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.withColumns({n: c for n, c in columns.items() if n not in df.columns})
+    return add_once(df, {n: c for n, c in columns.items() if n not in df.columns})
 
 
 def prepare_catalog(catalog: DataFrame) -> DataFrame:
@@ -35,17 +36,19 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     Needs target, script, kind, version, description, checksum.  ``vsort`` and
     ``dir_vsort`` that are already stored are used as they are.
     """
-    df = _with_missing(_with_target(catalog), {"dir_version": F.lit(None).cast("string"),
-                                 "vsort": version_key(F.col("version"))})
-    df = _with_missing(df, {"dir_vsort": version_key(F.col("dir_version"))})
-    return _with_missing(df, {"item_key": item_key()})
+    df = _with_target(catalog)
+    if "dir_version" not in df.columns:
+        df = df.withColumn("dir_version", F.lit(None).cast("string"))
+    df = _with_missing(df, {"vsort": version_key(F.col("version")),
+                            "dir_vsort": version_key(F.col("dir_version"))})
+    return df if "item_key" in df.columns else df.withColumn("item_key", item_key())
 
 
 def prepare_ledger(ledger: DataFrame) -> DataFrame:
     """Read an empty version as none and add ``vsort`` and ``item_key``."""
     df = _with_target(ledger).withColumn("version", F.nullif(F.col("version"), F.lit("")))
     df = _with_missing(df, {"vsort": version_key(F.col("version"))})
-    return _with_missing(df, {"item_key": item_key()})
+    return df if "item_key" in df.columns else df.withColumn("item_key", item_key())
 
 
 def executable(catalog: DataFrame) -> DataFrame:

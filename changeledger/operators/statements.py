@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from changeledger.functions.placeholders import (
     BUILTIN_NAMESPACE, PREFIX, SUFFIX, substitute, undefined_placeholders)
@@ -23,21 +25,42 @@ def _with_values(scripts: DataFrame, targets: DataFrame | None) -> DataFrame:
     return scripts
 
 
-def resolve_text(scripts: DataFrame, targets: DataFrame | None = None, prefix: str = PREFIX,
-                 suffix: str = SUFFIX, namespace: str = BUILTIN_NAMESPACE) -> DataFrame:
-    """``text`` of target, script rows with the target's values filled in."""
-    text = substitute(F.col("text"), F.col("placeholders"), F.col("builtins"),
-                      prefix, suffix, namespace)
-    return _with_values(scripts, targets).withColumn("text", text).drop("placeholders", "builtins")
+@dataclass(frozen=True)
+class Marks:
+    """How placeholders are written."""
+
+    prefix: str = PREFIX
+    suffix: str = SUFFIX
+    namespace: str = BUILTIN_NAMESPACE
+
+    def undefined(self) -> Column:
+        return undefined_placeholders(F.col("text"), F.col("placeholders"), F.col("builtins"),
+                                      self.prefix, self.suffix, self.namespace)
+
+    def resolved(self) -> Column:
+        return substitute(F.col("text"), F.col("placeholders"), F.col("builtins"),
+                          self.prefix, self.suffix, self.namespace)
+
+
+DEFAULT_MARKS = Marks()
+
+
+def resolve_text(scripts: DataFrame, targets: DataFrame | None = None, marks: Marks = DEFAULT_MARKS,
+                 complete_only: bool = False) -> DataFrame:
+    """``text`` of target, script rows with the target's values filled in.
+
+    With ``complete_only``, scripts that use an undefined placeholder are left out.
+    """
+    texts = _with_values(scripts, targets)
+    if complete_only:
+        texts = texts.filter(F.size(marks.undefined()) == 0)
+    return texts.withColumn("text", marks.resolved()).drop("placeholders", "builtins")
 
 
 def placeholder_problems(scripts: DataFrame, targets: DataFrame | None = None,
-                         prefix: str = PREFIX, suffix: str = SUFFIX,
-                         namespace: str = BUILTIN_NAMESPACE) -> DataFrame:
+                         marks: Marks = DEFAULT_MARKS) -> DataFrame:
     """A 2009 row for every use of a placeholder without a value, with its line."""
-    found = undefined_placeholders(F.col("text"), F.col("placeholders"), F.col("builtins"),
-                                   prefix, suffix, namespace)
-    uses = _with_values(scripts, targets).select("target", "script", F.inline(found))
+    uses = _with_values(scripts, targets).select("target", "script", F.inline(marks.undefined()))
     return uses.select("target", "script", F.lit(UNDEFINED_PLACEHOLDER).alias("code"),
                        F.concat(F.col("key"), F.lit(" in line "), F.col("line").cast("string"))
                        .alias("detail")).select(*PROBLEM_COLUMNS)
@@ -50,15 +73,17 @@ def plan_texts(plan: DataFrame, scripts: DataFrame) -> DataFrame:
 
 
 def dry_run(plan: DataFrame, scripts: DataFrame, targets: DataFrame | None = None,
-            dialect: Dialect = POSTGRESQL, substitution: bool = True, prefix: str = PREFIX,
-            suffix: str = SUFFIX, namespace: str = BUILTIN_NAMESPACE) -> DataFrame:
+            dialect: Dialect = POSTGRESQL, substitution: bool = True,
+            marks: Marks = DEFAULT_MARKS) -> DataFrame:
     """Statements a run would send: target, script, kind, run_order, stmt_no, line, sql.
 
-    Sort by target, run_order, stmt_no to read it; nothing here needs the order.
+    A script with an undefined placeholder has none; ``placeholder_problems`` over
+    ``plan_texts`` names it.  Sort by target, run_order, stmt_no to read the
+    result; nothing here needs the order.
     """
     texts = plan_texts(plan, scripts)
     if substitution:
-        texts = resolve_text(texts, targets, prefix, suffix, namespace)
+        texts = resolve_text(texts, targets, marks, complete_only=True)
     return split_statements(texts, dialect)
 
 

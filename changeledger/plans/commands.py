@@ -11,14 +11,14 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changeledger.functions.placeholders import BUILTIN_NAMESPACE, PREFIX, SUFFIX
 from changeledger.functions.selection import VersionSelection
 from changeledger.functions.splitter import Dialect, POSTGRESQL
 from changeledger.operators import history, pending as pending_ops, problems as problem_ops
 from changeledger.operators.distribute import lookup
 from changeledger.operators.report import info_report
 from changeledger.operators.state import state_view
-from changeledger.operators.statements import dry_run, placeholder_problems, plan_texts
+from changeledger.operators.statements import (
+    DEFAULT_MARKS, dry_run, Marks, placeholder_problems, plan_texts)
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,7 @@ class Reconciler:
     by_directory: bool = False
     dialect: Dialect = POSTGRESQL
     substitution: bool = True
-    prefix: str = PREFIX
-    suffix: str = SUFFIX
-    namespace: str = BUILTIN_NAMESPACE
+    marks: Marks = DEFAULT_MARKS
 
     def _targets(self) -> DataFrame:
         if self.targets is not None:
@@ -83,14 +81,10 @@ class Reconciler:
         return statements, problems.unionByName(more)
 
     def _preview(self, plan: DataFrame, scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        marks = (self.prefix, self.suffix, self.namespace)
-        problems = placeholder_problems(plan_texts(plan, scripts), self.targets, *marks)
-        if self.substitution:
-            bad = problems.select("target", "script").distinct()
-            plan = plan.join(bad, ["target", "script"], "left_anti")
-        else:
-            problems = problems.limit(0)
-        return dry_run(plan, scripts, self.targets, self.dialect, self.substitution, *marks), problems
+        texts = plan_texts(plan, scripts)
+        problems = placeholder_problems(texts if self.substitution else texts.limit(0),
+                                        self.targets, self.marks)
+        return dry_run(plan, scripts, self.targets, self.dialect, self.substitution, self.marks), problems
 
     # ------------------------------------------------------------- changing
 
