@@ -93,11 +93,11 @@ def _split_regular(text: Column, dialect: Dialect) -> Column:
     comments = _comment_patterns(dialect, end)
     quoted = [p.replace("(?P<tag>", "(?<tag>").replace("(?P=tag)", r"\k<tag>")
               for p in _quoted_patterns(dialect, end, r"[\p{L}\p{Nd}_]")]
-    token = "|".join([*comments, *quoted, _plain_pattern(dialect, dialect.separator), "(?s:.)"])
-    piece = rf"((?:(?!{sep})(?:{token}))*+)(?:{sep}|{end})"
+    plain, special = _plain_pattern(dialect, dialect.separator), "|".join([*comments, *quoted, "(?s:.)"])
+    piece = rf"((?:{plain}|(?!{sep})(?:{special}))*+)(?:{sep}|{end})"
     no_code = rf"^(?:\p{{javaWhitespace}}++|{'|'.join(comments)})*+"
 
-    unix = F.regexp_replace(text, "\r\n?", "\n")
+    unix = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
     pieces = F.regexp_extract_all(unix, F.lit(piece), F.lit(1))
 
     def located(p: Column, before: Column) -> Column:

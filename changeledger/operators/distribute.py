@@ -36,8 +36,9 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def number_rows(rows: DataFrame, group: Sequence[str], order: Sequence[Column],
-                name: str) -> DataFrame:
-    """``row_number()`` of each row in its group, without a task per group.
+                name: str, total: str | None = None) -> DataFrame:
+    """``row_number()`` of each row in its group, without a task per group; with
+    ``total``, also the number of rows of the group.
 
     Rows are range-partitioned by (group, order), so a large group spans several
     partitions.  The result is checkpointed once, which fixes the positions
@@ -56,8 +57,9 @@ def number_rows(rows: DataFrame, group: Sequence[str], order: Sequence[Column],
     # One row per group and range partition, never more than there are partitions.
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
-    parts = parts.select(*group, "_part", (
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
+    totals = [F.sum("_rows").over(Window.partitionBy(*group)).cast("int").alias(total)] if total else []
+    parts = parts.select(*group, "_part", shift.alias("_shift"), *totals)
     return (placed.join(parts, [*group, "_part"])
             .withColumn(name, (F.col("_place") + F.col("_shift")).cast("int"))
             .drop("_place", "_part", "_shift"))

@@ -52,14 +52,13 @@ def baseline(targets: DataFrame, ledger: DataFrame, version: str = BASELINE_VERS
 # -------------------------------------------------------------------- record
 
 def executed(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Planned items with an outcome, up to and including the first failure of
-    each target; what comes after it did not run."""
-    ran = plan.join(outcomes, ["target", "script"])
-    stops = ran.filter(~F.col("success")).groupBy("target").agg(
-        F.min("run_order").alias("stopped_at"))
+    """Planned items with an outcome, up to and including the first failure of each
+    target, and their ``place``; what comes after it did not run.  Starts a job."""
+    ran = number_rows(plan.join(outcomes, ["target", "script"]), ["target"],
+                      [F.col("run_order")], "place")
+    stops = ran.filter(~F.col("success")).groupBy("target").agg(F.min("place").alias("stopped_at"))
     rows = lookup(ran, stops, ["target"], ["script"])
-    return rows.filter(F.col("stopped_at").isNull()
-                       | (F.col("run_order") <= F.col("stopped_at"))).drop("stopped_at")
+    return rows.filter(F.col("place") <= F.coalesce("stopped_at", "place")).drop("stopped_at")
 
 
 def record_outcomes(plan: DataFrame, outcomes: DataFrame, targets: DataFrame, ledger: DataFrame,
@@ -68,14 +67,14 @@ def record_outcomes(plan: DataFrame, outcomes: DataFrame, targets: DataFrame, le
 
     ``outcomes``: target, script, success, elapsed_ms.  ``targets``: target,
     transactional; a failed item of a transactional target was rolled back and
-    leaves no record.  Starts a job (rank numbering).
+    leaves no record.  As it is the last of its target, no rank is left free.
+    Starts a job.
     """
     facts = targets.select("target", "transactional").join(highest_rank(ledger), "target", "left")
     rows = lookup(executed(plan, outcomes), facts, ["target"], ["script"], "inner")
     rows = rows.filter(F.col("success") | ~F.col("transactional"))
-    numbered = number_rows(rows, ["target"], [F.col("run_order")], "place")
     rank = F.coalesce(F.col("highest_rank"), F.lit(0)) + F.col("place")
-    return numbered.select(
+    return rows.select(
         "target", rank.alias("installed_rank"), "version", "description",
         F.when(F.col("kind") == UNDO_SQL, UNDO_SQL).otherwise(SQL).alias("type"),
         "script", "checksum", F.lit(installed_by).alias("installed_by"),

@@ -115,6 +115,4 @@ def range_end_warning(catalog: DataFrame, selection: VersionSelection,
 
 def with_progress(plan: DataFrame) -> DataFrame:
     """Add ``step`` (1, 2, ...) and ``steps`` per target.  Starts a job."""
-    totals = plan.groupBy("target").agg(F.count("*").cast("int").alias("steps"))
-    return lookup(number_rows(plan, ["target"], [F.col("run_order")], "step"),
-                  totals, ["target"], ["item_key"])
+    return number_rows(plan, ["target"], [F.col("run_order")], "step", total="steps")
