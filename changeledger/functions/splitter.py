@@ -249,7 +249,10 @@ def split_statements(scripts: DataFrame, dialect: Dialect = POSTGRESQL,
                      text: str = "text") -> DataFrame:
     """One row per statement: the other columns of ``scripts`` + stmt_no, line, sql."""
     kept = [c for c in scripts.columns if c != text]
-    return scripts.select(*kept, F.inline(statements_of(F.col(text), dialect)))
+    # The outer form: for the inner one the optimizer adds a check that the array is
+    # not empty below the split, and the text would be split twice.
+    split = scripts.select(*kept, statements_of(F.col(text), dialect).alias("_statements"))
+    return split.select(*kept, F.inline_outer("_statements")).filter(F.col("stmt_no").isNotNull())
 
 
 def with_batches(statements: DataFrame, size: int) -> DataFrame:
