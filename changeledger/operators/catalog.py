@@ -66,8 +66,8 @@ def duplicate_versions(catalog: DataFrame) -> DataFrame:
     items = prepare_catalog(catalog).filter(F.col("vsort").isNotNull())
     keys = ["target", "kind", "vsort"]
     doubled = (items.groupBy(*keys).agg(F.min("script").alias("detail"), F.count("*").alias("n"))
-               .filter("n > 1").drop("n"))
-    return (lookup(items.select(*keys, "script"), doubled, keys, ["script"], "inner")
+               .filter("n > 1"))
+    return (lookup(items.select(*keys, "script"), doubled, keys, ["script"], "inner", weight="n")
             .filter(F.col("script") != F.col("detail"))
             .withColumn("code", F.lit(DUPLICATE_VERSION))
             .select(*PROBLEM_COLUMNS))

@@ -7,24 +7,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# Parts a target's rows are spread over when they meet per-target facts.
-FANOUT = 32
+# A key with more rows than this is spread over several tasks.
+ROWS_PER_COPY = 1_000_000
+
+
+def _copies(rows: Column) -> Column:
+    return F.ceil(rows / ROWS_PER_COPY).cast("int")
 
 
 def lookup(rows: DataFrame, facts: DataFrame, on: Sequence[str], spread_by: Sequence[str],
-           how: str = "left") -> DataFrame:
+           how: str = "left", weight: str | None = None) -> DataFrame:
     """Join ``rows`` with ``facts`` that have one row per ``on``.
 
-    ``on`` may be very unevenly filled on the side of ``rows``; each fact is
-    repeated FANOUT times and the rows of one key are spread over the copies by
-    the hash of ``spread_by``.  No broadcast is forced: adaptive execution picks
-    one when the facts turn out small.
+    A key may hold any share of ``rows``.  The fact of such a hot key is repeated
+    once per ROWS_PER_COPY rows, and its rows are dealt to the copies by the hash
+    of ``spread_by``; all other facts stay single.  ``weight`` names a column of
+    ``facts`` with (about) the number of rows of the key, which is used up here;
+    without it the rows are counted.
+
+    The broadcast hot keys are at most (number of rows / ROWS_PER_COPY).  The
+    join itself is left to the optimizer.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(FANOUT)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(FANOUT - 1)))
-    return (rows.withColumn("_salt", salt)
-            .join(facts.withColumn("_salt", copies), [*on, "_salt"], how)
-            .drop("_salt"))
+    if weight:
+        facts = facts.withColumn("_copies", _copies(F.col(weight))).drop(weight)
+        hot = facts.filter("_copies > 1").select(*on, "_copies")
+    else:
+        hot = (rows.groupBy(*on).agg(_copies(F.count("*")).alias("_copies"))
+               .filter("_copies > 1"))
+        facts = facts.join(F.broadcast(hot), list(on), "left")
+    last_copy = F.coalesce(F.col("_copies"), F.lit(1)) - 1
+    copy_of_row = F.pmod(F.xxhash64(*spread_by), last_copy + 1).cast("int")
+    dealt = rows.join(F.broadcast(hot), list(on), "left").withColumn("_copy", copy_of_row)
+    copied = facts.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(last_copy, F.lit(0)))))
+    return (dealt.drop("_copies").join(copied.drop("_copies"), [*on, "_copy"], how)
+            .drop("_copy"))
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:

@@ -56,8 +56,10 @@ def executed(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
     target, and their ``place``; what comes after it did not run.  Starts a job."""
     ran = number_rows(plan.join(outcomes, ["target", "script"]), ["target"],
                       [F.col("run_order")], "place")
-    stops = ran.filter(~F.col("success")).groupBy("target").agg(F.min("place").alias("stopped_at"))
-    rows = lookup(ran, stops, ["target"], ["script"])
+    stops = ran.groupBy("target").agg(
+        F.min(F.when(~F.col("success"), F.col("place"))).alias("stopped_at"),
+        F.count("*").alias("items"))
+    rows = lookup(ran, stops, ["target"], ["script"], weight="items")
     return rows.filter(F.col("place") <= F.coalesce("stopped_at", "place")).drop("stopped_at")
 
 
@@ -133,17 +135,19 @@ def undo_plan(targets: DataFrame, catalog: DataFrame, ledger: DataFrame
 # -------------------------------------------------------------------- repair
 
 def _checksum_updates(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(target, script, vsort, new_checksum) for recorded scripts whose latest
-    successful record differs from the catalog."""
+    """(target, script, vsort, new_checksum, records) for recorded scripts whose
+    latest successful record differs from the catalog; ``records`` is how many
+    records the version has."""
     items = executable(prepare_catalog(catalog)).filter(F.col("vsort").isNotNull())
     latest = ledger.filter(F.col("success") & F.col("vsort").isNotNull()
                            & ~F.col("type").isin(UNDO_SQL, BASELINE)) \
         .groupBy("target", "vsort").agg(
-            F.max_by(F.struct("script", "checksum"), "installed_rank").alias("last"))
+            F.max_by(F.struct("script", "checksum"), "installed_rank").alias("last"),
+            F.count("*").alias("records"))
     both = items.select("target", "vsort", F.col("checksum").alias("new_checksum")) \
         .join(latest, ["target", "vsort"])
     return both.filter(~F.col("new_checksum").eqNullSafe(F.col("last.checksum"))).select(
-        "target", F.col("last.script").alias("script"), "vsort", "new_checksum")
+        "target", F.col("last.script").alias("script"), "vsort", "new_checksum", "records")
 
 
 def repair(catalog: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,8 +160,9 @@ def repair(catalog: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]
     keyed = prepare_ledger(ledger)
     updates = _checksum_updates(catalog, keyed)
     per_script = updates.groupBy("target", "script").agg(
-        F.max_by("new_checksum", "vsort").alias("new_checksum")).withColumn("aligned", F.lit(True))
-    kept = lookup(keyed.filter("success"), per_script, ["target", "script"], ["installed_rank"])
+        F.max_by("new_checksum", "vsort").alias("new_checksum"), F.sum("records").alias("records"))
+    kept = lookup(keyed.filter("success"), per_script.withColumn("aligned", F.lit(True)),
+                  ["target", "script"], ["installed_rank"], weight="records")
     checksum = F.when(F.col("aligned"), F.col("new_checksum")).otherwise(F.col("checksum"))
     kept = kept.withColumn("checksum", checksum).select(
         *[c for c in LEDGER_COLUMNS if c in ledger.columns])

@@ -19,18 +19,22 @@ def failed_gate(ledger: DataFrame) -> DataFrame:
     return failed.groupBy("target").agg(F.min_by("script", "installed_rank").alias("script"))
 
 
-def _target_facts(ledger: DataFrame, latest: DataFrame) -> DataFrame:
-    """Per target: failed gate, baseline floor, highest applied version."""
-    special = ledger.filter((F.col("type") == BASELINE) | ~F.col("success")).select(
-        "target", (~F.col("success")).alias("failed"),
-        F.when(F.col("type") == BASELINE, F.col("vsort")).alias("floor"),
-        F.lit(None).cast("string").alias("highest"))
-    done = latest.select(
-        "target", F.lit(False).alias("failed"), F.lit(None).cast("string").alias("floor"),
-        F.when(F.col("last.type") != UNDO_SQL, F.col("last.vsort")).alias("highest"))
-    return special.unionByName(done).groupBy("target").agg(
+def _target_facts(items: DataFrame, ledger: DataFrame, latest: DataFrame) -> DataFrame:
+    """Per target: failed gate, baseline floor, highest applied version, number of items."""
+    special = ledger.filter((F.col("type") == BASELINE) | ~F.col("success"))
+    parts = [
+        special.select("target", (~F.col("success")).alias("failed"),
+                       F.when(F.col("type") == BASELINE, F.col("vsort")).alias("floor")),
+        latest.select("target", F.when(F.col("last.type") != UNDO_SQL, F.col("last.vsort"))
+                      .alias("highest")),
+        items.select("target", F.lit(1).alias("item")),
+    ]
+    facts = parts[0]
+    for part in parts[1:]:
+        facts = facts.unionByName(part, allowMissingColumns=True)
+    return facts.groupBy("target").agg(
         F.bool_or("failed").alias("failed"), F.max("floor").alias("floor"),
-        F.max("highest").alias("highest"))
+        F.max("highest").alias("highest"), F.count("item").alias("items"))
 
 
 def verdicts(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection = EVERYTHING,
@@ -45,7 +49,8 @@ def verdicts(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection
     latest = ledger.filter(F.col("type") != BASELINE).groupBy("target", "item_key").agg(
         F.max_by(F.struct("type", "vsort", "checksum"), "installed_rank").alias("last"))
     rows = lookup(items.join(latest, ["target", "item_key"], "left"),
-                  _target_facts(ledger, latest), on=["target"], spread_by=["item_key"])
+                  _target_facts(items, ledger, latest), on=["target"], spread_by=["item_key"],
+                  weight="items")
 
     versioned = F.col("vsort").isNotNull()
     newer = F.col("highest").isNull() | (F.col("vsort") > F.col("highest"))
@@ -66,8 +71,10 @@ def pending(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection =
     judged = verdicts(catalog, ledger, selection, out_of_order)
     todo = judged.filter(F.col("verdict") == "pending").drop("verdict")
     if not out_of_order:
-        held = judged.filter(F.col("verdict") == "out_of_order").select("target").distinct()
-        todo = lookup(todo, held, ["target"], ["item_key"], "left_anti")
+        held = judged.groupBy("target").agg(
+            F.count_if(F.col("verdict") == "out_of_order").alias("late"),
+            F.count("*").alias("items")).filter("late > 0").drop("late")
+        todo = lookup(todo, held, ["target"], ["item_key"], "left_anti", weight="items")
     return todo.withColumn("run_order", run_order(by_directory))
 
 

@@ -66,8 +66,8 @@ ADVICE = {
 }
 
 
-def validation_problems(view: DataFrame) -> DataFrame:
-    """Changed, failed, missing and too-new items of a state view; an item may have two."""
+def _found() -> Column:
+    """The problems of one row of a state view, as an array."""
     local, recorded = F.col("resolved.checksum"), F.col("applied.checksum")
     changed = (F.col("resolved.vsort").isNotNull() & (F.col("applied.type") != UNDO_SQL)
                & (local != recorded))
@@ -76,16 +76,26 @@ def validation_problems(view: DataFrame) -> DataFrame:
     def problem(when: Column, code: str, detail: Column) -> Column:
         return F.when(when, F.struct(F.lit(code).alias("code"), detail.alias("detail")))
 
-    found = F.array(
+    return F.array_compact(F.array(
         problem(changed, MISMATCH, F.concat(F.lit("checksum local="), local.cast("string"),
                                             F.lit(" recorded="), recorded.cast("string"))),
         problem(state == FAILED, FAILED_NEEDS_REPAIR, F.lit("FAILED")),
-        problem(state.isin(MISSING, FUTURE), MISMATCH, state))
-    return (view.select("target", effective("script").alias("script"),
-                        F.inline(F.array_compact(found)))
+        problem(state.isin(MISSING, FUTURE), MISMATCH, state)))
+
+
+def validation_problems(view: DataFrame) -> DataFrame:
+    """Changed, failed, missing and too-new items of a state view; an item may have two."""
+    return (view.select("target", effective("script").alias("script"), F.inline(_found()))
             .select(*PROBLEM_COLUMNS))
 
 
+def invalid_targets(view: DataFrame) -> DataFrame:
+    """(target, items) of the targets that have a problem, with the number of their items."""
+    return view.groupBy("target").agg(
+        F.count_if(F.size(_found()) > 0).alias("bad"), F.count("*").alias("items")) \
+        .filter("bad > 0").drop("bad")
+
+
 def severity(code: Column) -> Column:
     """Exit status a command line would give: 2 for failed validation (2003, 2004)
     is decided by the caller; here 3xxx gives 3, 4xxx gives 4, anything else 1."""

@@ -31,13 +31,14 @@ def latest_per_item(ledger: DataFrame) -> DataFrame:
 
 
 def _bounds(items: DataFrame, latest: DataFrame) -> DataFrame:
-    """Per target: highest version applied and highest version in the catalog."""
+    """Per target: highest version applied and in the catalog, and how many items."""
     live = F.col("applied.success") & (F.col("applied.type") != UNDO_SQL)
     none = F.lit(None).cast("string")
     both = latest.select("target", F.when(live, F.col("applied.vsort")).alias("a"), none.alias("r")) \
         .unionByName(items.select("target", none.alias("a"), F.col("vsort").alias("r")))
     return both.groupBy("target").agg(
-        F.max("a").alias("highest_applied"), F.max("r").alias("highest_resolved"))
+        F.max("a").alias("highest_applied"), F.max("r").alias("highest_resolved"),
+        F.count("*").alias("items"))
 
 
 def _state() -> Column:
@@ -65,7 +66,7 @@ def state_view(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     latest = latest_per_item(ledger)
     resolved = items.select("target", "item_key", F.struct(*RESOLVED_FIELDS).alias("resolved"))
     view = lookup(resolved.join(latest, ["target", "item_key"], "full_outer"),
-                  _bounds(items, latest), on=["target"], spread_by=["item_key"])
+                  _bounds(items, latest), on=["target"], spread_by=["item_key"], weight="items")
     return view.select("target", "item_key", "resolved", "applied", _state().alias("state"))
 
 

@@ -58,8 +58,8 @@ class Reconciler:
         todo = pending_ops.pending(self.catalog, self.ledger, self.selection,
                                    self.out_of_order, self.by_directory)
         if self.validate_first:
-            bad = self.validate().select("target").distinct()
-            todo = lookup(todo, bad, ["target"], ["item_key"], "left_anti")
+            todo = lookup(todo, problem_ops.invalid_targets(self.state()), ["target"],
+                          ["item_key"], "left_anti", weight="items")
         return todo
 
     def plan_problems(self) -> DataFrame:

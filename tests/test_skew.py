@@ -1,8 +1,14 @@
 """One target holds most rows; results stay exact and its rows are spread."""
 
+import pytest
 from pyspark.sql import Window, functions as F
 
-from changeledger.operators.distribute import FANOUT, lookup, number_rows
+from changeledger.operators import distribute
+from changeledger.operators.distribute import lookup, number_rows
+from changeledger.operators.history import repair
+from changeledger.operators.pending import pending
+from changeledger.operators.state import state_view
+from conftest import rows
 
 
 def hot(spark, n=20_000):
@@ -29,13 +35,44 @@ def test_numbering_has_no_window_over_the_rows(spark):
     assert "Aggregate [target" in before_window
 
 
-def test_lookup_spreads_one_key(spark):
-    df, facts = hot(spark), hot(spark).groupBy("target").agg(F.count("*").alias("n"))
-    joined = lookup(df, facts, ["target"], ["id"])
-    assert joined.count() == df.count() and joined.filter("n IS NULL").count() == 0
-    assert joined.columns == ["target", "place", "id", "n"]
-    salt = F.pmod(F.xxhash64("id"), F.lit(FANOUT))
-    assert df.filter("target = 'hot'").select(salt).distinct().count() == FANOUT
-    none = facts.filter("target <> 'hot'")
-    assert lookup(df, none, ["target"], ["id"], "left_anti").count() == df.filter("target = 'hot'").count()
-    assert lookup(df, none, ["target"], ["id"], "inner").count() == df.filter("target <> 'hot'").count()
+@pytest.mark.parametrize("weight", [None, "n"])
+@pytest.mark.parametrize("rows_per_copy", [100, 10 ** 6])
+def test_lookup_is_exact(spark, monkeypatch, weight, rows_per_copy):
+    monkeypatch.setattr(distribute, "ROWS_PER_COPY", rows_per_copy)
+    df = hot(spark)
+    facts = df.groupBy("target").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    joined = lookup(df, facts, ["target"], ["id"], weight=weight)
+    assert joined.columns == ["target", "place", "id"] + (["n"] if not weight else []) + ["top"]
+    expected = df.join(facts, "target").select("target", "id", "top")
+    assert joined.select("target", "id", "top").exceptAll(expected).count() == 0
+    assert joined.count() == df.count()
+    cold = facts.filter("target <> 'hot'")
+    for how, condition in (("left_anti", "target = 'hot'"), ("left_semi", "target <> 'hot'"),
+                           ("inner", "target <> 'hot'")):
+        found = lookup(df, cold, ["target"], ["id"], how, weight)
+        assert found.count() == df.filter(condition).count()
+
+
+def test_hot_key_is_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(distribute, "ROWS_PER_COPY", 1000)
+    df = hot(spark)
+    facts = df.groupBy("target").agg(F.count("*").alias("n"))
+    plan = lookup(df, facts, ["target"], ["id"], weight="n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_copy" in plan.split("Join")[1]
+    copies = F.pmod(F.xxhash64("id"), F.lit(14))
+    sizes = [r["count"] for r in df.filter("target = 'hot'").groupBy(copies).count().collect()]
+    assert len(sizes) == 14 and max(sizes) < 1200
+
+
+def test_operators_with_hot_keys(monkeypatch, catalog, ledger):
+    """Splitting every key changes nothing."""
+    items = catalog(*[("hot", "V", f"{i}", i) for i in range(1, 40)], *[(f"t{i}", "V", "1", 1) for i in range(5)])
+    records = ledger(*[("hot", i, "SQL", f"{1 + i % 20}", i % 7, True) for i in range(1, 80)])
+    results = []
+    for rows_per_copy in (10 ** 6, 3):
+        monkeypatch.setattr(distribute, "ROWS_PER_COPY", rows_per_copy)
+        results.append((rows(state_view(items, records), "target", "item_key", "state"),
+                        rows(pending(items, records), "target", "script"),
+                        rows(repair(items, records)[0], "target", "installed_rank", "checksum")))
+    assert results[0] == results[1]
+    assert [len(r) for r in results[0]] == [44, 24, 79]
