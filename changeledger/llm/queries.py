@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeledger.llm import bpe, contamination, mixing, quality, shards, simhash, toxicity
+from changeledger.llm import bpe, brown, caps, contamination, line_runs, mixing, quality, shards, simhash, toxicity
 from changeledger.llm.common import table
 
 
@@ -27,6 +27,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return brown.class_scores(docs, _remainder(7) == 2)
+
+
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the deleted lines as text, and size and CRC-32 of what stays."""
+    clean = line_runs.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"),
+                        F.col("n_deleted_words").cast("long").alias("n_deleted_words"),
+                        F.array_join(F.transform("deleted", lambda x: x.cast("string")), ",").alias("deleted_lines"),
+                        F.octet_length("text").cast("long").alias("kept_bytes"), F.md5("text").alias("kept_md5"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -60,5 +78,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op6_mixing, op7_simhash, op8_token_counts, op9_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_sharding, op3_class_model, op4_cap_filters, op5_line_runs, op6_mixing, op7_simhash, op8_token_counts, op9_quality, op10_toxicity)}
 SQL: dict[str, str] = {}
