@@ -21,7 +21,7 @@ def words_of(text: Column) -> Column:
 
 def variety(words: Column) -> Column:
     """Quality weight of a text, 0.5 to 1.5: the share of its words that are different."""
-    return F.lit(0.5) + F.coalesce(F.size(F.array_distinct(words)) / F.size(words), F.lit(0.0))
+    return F.lit(0.5) + F.coalesce(F.try_divide(F.size(F.array_distinct(words)), F.size(words)), F.lit(0.0))
 
 
 def uniform(*parts: Column) -> Column:

@@ -67,7 +67,8 @@ def cells(prints: DataFrame) -> DataFrame:
 
 def _forest(left: np.ndarray, right: np.ndarray, same: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join whatever is within ``most`` bits, one for each row at most: labels spread until none changes."""
-    near = np.bitwise_count(left[:, None] ^ right[None, :]) <= most
+    # as unsigned numbers: of a negative one, the bits of its absolute value would be counted
+    near = np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :]) <= most
     if same:
         np.fill_diagonal(near, False)
     if not near.any():
@@ -100,7 +101,7 @@ def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         if group.num_rows < 2:
             continue
         fp, probe, own = (group.column(c).to_numpy() for c in ("fp", "probe", "own"))
-        if group.num_rows == 2 and int(fp[0] ^ fp[1]).bit_count() > most:
+        if group.num_rows == 2 and np.bitwise_count((fp[:1] ^ fp[1:]).view(np.uint64)[0]) > most:
             continue
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         # rows at home in the cell with each other, and with those that step up into it
