@@ -92,14 +92,22 @@ def _filtered(batches: Iterator[pa.RecordBatch], dimension: int, vectors: int) -
                 ["filter", "id", "copies", "embedding", "filters"])
 
 
-def _first_meeting(filters: np.ndarray, a: np.ndarray, b: np.ndarray, number: int) -> np.ndarray:
-    """Whether this filter is the smallest that both have: a pair counts in one filter only."""
-    out = np.empty(len(a), bool)
-    for start in range(0, len(a), 20_000):
-        x, y = filters[a[start:start + 20_000]], filters[b[start:start + 20_000]]
-        same = (x[:, :, None] == y[:, None, :]) & (x < number)[:, :, None] & (x >= 0)[:, :, None]
-        out[start:start + 20_000] = ~same.any((1, 2))
-    return out
+def _first_meeting(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray, number: int) -> np.ndarray:
+    """Whether this filter is the smallest that both vectors of a pair have: a pair counts in one filter only.
+
+    A matrix of linked vectors and smaller filters that two of them have; its product with itself counts
+    what they share.
+    """
+    linked = np.unique(np.concatenate([a, b]))
+    smaller = [f[f < number] for f in (lists[i] for i in linked)]
+    found, times = np.unique(np.concatenate(smaller), return_counts=True)
+    found = found[times > 1]
+    if not len(found):
+        return np.ones(len(a), bool)
+    has = np.zeros((len(linked), len(found)), np.float32)
+    for i, own in enumerate(smaller):
+        has[i, np.searchsorted(found, own[np.isin(own, found, assume_unique=True)])] = 1
+    return (has @ has.T)[np.searchsorted(linked, a), np.searchsorted(linked, b)] == 0
 
 
 def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -114,10 +122,6 @@ def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         ids, copies, own = (group.column(c).to_numpy() for c in ("id", "copies", "own"))
         number, lo, hi = (group.column(c)[0].as_py() for c in ("filter", "lo", "hi"))
         units = _units(_matrix(group.column("embedding").combine_chunks()))
-        lists = group.column("filters").to_pylist()
-        filters = np.full((len(lists), max(map(len, lists))), -1, np.int64)
-        for i, known in enumerate(lists):
-            filters[i, :len(known)] = known
         left = np.flatnonzero(own == lo)
         right = left if lo == hi else np.flatnonzero(own == hi)
         if not len(left) or not len(right):
@@ -126,8 +130,12 @@ def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         if lo == hi:
             near &= np.triu(np.ones(near.shape, bool), 1)
         a, b = np.nonzero(near)
+        if not len(a):
+            continue
         a, b = left[a], right[b]
-        fresh = _first_meeting(filters, a, b, number)
+        held = group.column("filters").combine_chunks()
+        ends, flat = held.offsets.to_numpy(), held.values.to_numpy()
+        fresh = _first_meeting([flat[x:y] for x, y in zip(ends, ends[1:])], a, b, number)
         a, b = a[fresh], b[fresh]
         if not len(a):
             continue
@@ -154,11 +162,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id"
     Recall: near vectors share a filter with a probability that depends on the numbers above, measured in
     tests against brute force; no false links.
 
-    Defined results: vectors that are NULL, empty, zero, with NULL or non-finite components, or of another
-    length than the most frequent one (the longer of equally frequent ones) link with nothing in this run
-    except equal lengths being required; equal rows link with each other; a row without links has
-    component_id = vec_id; NULL ids are not the smallest of a component; an empty table gives an empty result;
-    other columns are not read.
+    Defined results: vectors that are NULL, empty, zero, or with NULL or non-finite components link with
+    nothing; vectors of different lengths do not link; equal rows link with each other; a row without links
+    has component_id = vec_id; NULL ids are not the smallest of a component; an empty table gives an empty
+    result; other columns are not read.
     """
     spark = vectors.sparkSession
     x = F.col("embedding")
