@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeledger.llm import bpe, brown, caps, contamination, line_runs, mixing, quality, shards, simhash, toxicity
 from changeledger.llm.common import table
+from changeledger.llm.oracles import SQL  # noqa: F401
 
 
 def _remainder(modulus: int):
@@ -80,4 +81,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_sharding, op3_class_model, op4_cap_filters, op5_line_runs, op6_mixing, op7_simhash, op8_token_counts, op9_quality, op10_toxicity)}
-SQL: dict[str, str] = {}

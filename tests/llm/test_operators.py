@@ -394,7 +394,7 @@ def test_class_model_sums_to_one_and_beats_single_words(spark):
     texts = [(i, " ".join(w for _ in range(30) for w in (r.choice(nouns), r.choice(verbs)))) for i in range(200)]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     small = brown.Settings(vocabulary=50, classes=6, rounds=6)
-    whole = brown.Settings(vocabulary=1000, classes=6, rounds=6)
+    whole = brown.Settings(vocabulary=1000, classes=6, rounds=12)
     got = {g.doc_id: g for g in brown.class_scores(frame, F.col("doc_id") % 7 == 2, whole).collect()}
     held = [g for g in got.values() if g.held_out]
     assert sum(g.score for g in held) > 0.9 * sum(g.base_score for g in held)
@@ -445,7 +445,7 @@ def labelled(spark, n=900, seed=8):
 
 def test_toxicity(spark, empty):
     docs, labels, rows, marks = labelled(spark)
-    model = toxicity.fit_toxicity(docs, labels, F.col("doc_id") % 4 != 1, toxicity.Settings(bits=16, l1=3.0))
+    model = toxicity.fit_toxicity(docs, labels, F.col("doc_id") % 4 != 1, toxicity.Settings(bits=20, l1=3.0))
     got = {r.doc_id: r.p for r in docs.select("doc_id", model.score(F.col("text")).alias("p")).collect()}
     held = [(got[d], t) for d, _, t in marks if d is not None and t is not None and d % 4 == 1]
     assert all(0 <= p <= 1 for p in got.values()) and got[9000] == got[9001] < 0.5
