@@ -33,7 +33,7 @@ class Settings:
 
     vocabulary: int = 60_000
     classes: int = 48
-    rounds: int = 6
+    rounds: int = 8
     prior: float = 5.0
 
 
@@ -138,8 +138,10 @@ def _exchanged(batches: Iterator[pa.RecordBatch], own: np.ndarray, matrix: np.nd
             gain += (_weighed(left[fro] + before[fro, None]) - _weighed(left[fro])).sum(0)
             rows, columns = left.sum(1), left.sum(0)
             gain -= _weighed(rows + after.sum()) - _weighed(rows) + _weighed(columns + before.sum()) - _weighed(columns)
-            gain[-2:] = -np.inf  # the classes of the other words and of the end take nobody in
-            best[i] = int(np.argmax(gain))
+            # words that move at once must not meet in an empty class; the last two classes take nobody in
+            gain[rows + columns == 0] = -np.inf
+            gain[-2:] = -np.inf
+            best[i] = c if gain.max() == -np.inf else int(np.argmax(gain))
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best)], ["word", "class"])
 
 
@@ -148,8 +150,8 @@ def exchange(partial: DataFrame, size: int, settings: Settings) -> tuple[np.ndar
 
     partial: pair, n (in parts). Distributed exchange: in a round the counts of each word with the classes
     next to it are summed over all pairs, and every word's best class is found by itself against the matrix
-    of the round's start. Half of the words, in turn, may move in a round, so that words do not change
-    places for ever. The pairs are written twice, dealt by their first and by their second word, so that the
+    of the round's start. A random half of the words may move in a round, so that words do not change
+    places for ever, and the best classes of all rounds count. The pairs are written twice, dealt by their first and by their second word, so that the
     sums of a round shrink before they are shuffled. A word has at most as many pairs as there are numbers
     and at most 2 k sums, however frequent it is. The driver holds the class numbers of the vocabulary
     (bounded by its setting) and the matrix.
@@ -172,15 +174,21 @@ def exchange(partial: DataFrame, size: int, settings: Settings) -> tuple[np.ndar
             matrix[row["ca"], row["cb"]] = row["n"]
         return matrix
 
-    for turn in range(settings.rounds):
+    best: tuple[float, np.ndarray, np.ndarray] | None = None
+    for turn in range(settings.rounds + 1):
         matrix = class_pairs()
-        moves = lambda word: (F.col(word) < size) & (F.pmod(F.xxhash64(word), F.lit(2)) == turn % 2)
+        value = float(_weighed(matrix).sum() - _weighed(matrix.sum(0)).sum() - _weighed(matrix.sum(1)).sum())
+        if best is None or value > best[0]:
+            best = value, own.copy(), matrix
+        if turn == settings.rounds:
+            break
+        moves = lambda word: (F.col(word) < size) & (F.pmod(F.xxhash64(word, F.lit(turn)), F.lit(2)) == 0)
         after = by_first.filter(moves("a")).join(table("b c"), "b").groupBy(F.col("a").alias("word"), "c").agg(F.sum("n").alias("n"))
         before = by_second.filter(moves("b")).join(table("a c"), "a").groupBy(F.col("b").alias("word"), (F.col("c") + k).alias("c")).agg(F.sum("n").alias("n"))
         near = after.union(before).groupBy("word").agg(F.collect_list(F.struct("c", "n")).alias("near"))
         moved = near.mapInArrow(lambda batches, o=own.copy(), m=matrix: _exchanged(batches, o, m), "word int, class long").toArrow()
         own[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
-    return own, class_pairs()
+    return best[1], best[2]
 
 
 def _scored(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
