@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession, functions as F
 
 from changeledger.functions.versions import VERSION_PATTERN
 from changeledger.schema import (
@@ -46,6 +47,17 @@ def glob_to_regex(glob: str) -> str:
                    for t in _GLOB_TOKEN.findall(glob))
 
 
+def checked_regex(regex: str, what: str) -> str:
+    """``regex`` if it can be compiled as the column functions will; 4002 otherwise.  Starts no job."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(regex)
+        except IllegalArgumentException as error:
+            raise LedgerError(BAD_SETTING, f"{what}: not a regular expression: {regex!r}") from error
+    return regex
+
+
 def full_match(value: Column, regex: str) -> Column:
     return value.rlike(rf"^(?:{regex})\z")
 
@@ -70,7 +82,7 @@ class PathFilter:
         regex = (getattr(self, f"{part}_regex") or "").strip()
         if glob and regex:
             raise LedgerError(BAD_SETTING, f"{part}: give a glob or a regex, not both")
-        return glob_to_regex(glob) if glob else regex or None
+        return glob_to_regex(glob) if glob else checked_regex(regex, part) if regex else None
 
     def matches(self, script: Column) -> Column:
         values = {"directory": parent_of(script), "file": file_name_of(script), "path": script}
@@ -91,6 +103,7 @@ def version_group(regex: str) -> int:
     """Number of the group called ``version``, else 1."""
     if not regex or not regex.strip():
         raise LedgerError(BAD_SETTING, "directory version regex is empty")
+    checked_regex(regex, "directory version")
     count, named = 0, None
     for match in _GROUP_SCAN.finditer(regex):
         if match.group().startswith("(") and match.group(1) != "?":

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from changeledger.functions.paths import full_match
+from changeledger.functions.paths import checked_regex, full_match
 from changeledger.functions.versions import in_family, version_key_of
 from changeledger.schema import BAD_SETTING, INVALID_VERSION, LedgerError
 
@@ -49,6 +49,8 @@ class VersionSelection:
             raise LedgerError(BAD_SETTING, "a regex needs mode REGEX")
         if mode == REGEX and not given:
             raise LedgerError(BAD_SETTING, "mode REGEX needs a regex")
+        if "regex" in given:
+            checked_regex(self.regex, "selection")
         allowed = _ARGUMENTS[mode]
         if mode != ALL and (not given or given - allowed):
             raise LedgerError(INVALID_VERSION, f"mode {mode} takes {sorted(allowed)}, got {sorted(given)}")
@@ -79,7 +81,7 @@ class VersionSelection:
         elif self.mode == FAMILY:
             hit = in_family(key, version_key_of(self.target))
         elif self.mode == REGEX:
-            hit = key.isNotNull() & full_match(F.col(self.version_column), self.regex)
+            hit = key.isNotNull() & full_match(F.col(self.version_column), checked_regex(self.regex, "selection"))
         else:
             hit = key.isNotNull()
             if self.start:

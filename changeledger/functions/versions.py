@@ -17,6 +17,8 @@ from changeledger.schema import INVALID_VERSION, LedgerError
 VERSION_PATTERN = r"\d[A-Za-z0-9]*(?:[._-][A-Za-z0-9]+)*"
 
 SEP = "\u0001"
+# Key of the number 0: a length of one digit, which is 0, and no digits.
+ZERO = "010"
 
 
 def is_valid_version(version: Column) -> Column:
@@ -26,18 +28,20 @@ def is_valid_version(version: Column) -> Column:
 def version_key(version: Column) -> Column:
     """Sortable form of a version; NULL for a missing or invalid one.
 
-    Numbers become ``0`` + length + digits (any size), words become ``1`` +
-    lower case, so numbers sort by value and before words.  Trailing zero
+    Numbers become ``0`` + length of the length + length + digits, so that any
+    number of digits sorts by value; words become ``1`` + lower case and come after
+    numbers.  Trailing zero
     numbers are cut, since 1.2 and 1.2.0 are one version.
     """
     def token(t: Column) -> Column:
         digits = F.ltrim(t, F.lit("0"))
-        number = F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+        length = F.length(digits).cast("string")
+        number = F.concat(F.lit("0"), F.length(length).cast("string"), length, digits)
         return F.when(t < ":", number).otherwise(F.concat(F.lit("1"), t))
 
     tokens = F.regexp_extract_all(F.lower(version), F.lit("[0-9]+|[a-z]+"), F.lit(0))
     joined = F.array_join(F.transform(tokens, token), SEP)
-    trimmed = F.regexp_replace(joined, rf"(?:{SEP}00000)+\z", "")
+    trimmed = F.regexp_replace(joined, rf"(?:{SEP}{ZERO})+\z", "")
     return F.when(is_valid_version(version),
                   F.when(version.endswith("0"), trimmed).otherwise(joined))
 
@@ -49,8 +53,9 @@ def version_key_of(version: str) -> str:
     parts = []
     for token in re.findall("[0-9]+|[a-z]+", version.lower()):
         digits = token.lstrip("0")
-        parts.append(f"0{len(digits):04d}{digits}" if token[0].isdigit() else f"1{token}")
-    while len(parts) > 1 and parts[-1] == "00000":
+        length = str(len(digits))
+        parts.append(f"0{len(length)}{length}{digits}" if token[0].isdigit() else f"1{token}")
+    while len(parts) > 1 and parts[-1] == ZERO:
         parts.pop()
     return SEP.join(parts)
 

@@ -15,6 +15,7 @@ from changeledger.schema import (
     DUPLICATE_VERSION, INVALID_VERSION, LEGACY_REPEATABLE, PROBLEM_COLUMNS, REPEATABLE, SQL,
     UNDO_SQL)
 
+# location_no is there where the scripts have it: the place of their location.
 CATALOG_COLUMNS = ["target", "script", "kind", "version", "vsort", "dir_version", "dir_vsort",
                    "description", "checksum", "item_key"]
 
@@ -55,19 +56,31 @@ def build_catalog(scripts: DataFrame, path_filter: PathFilter = PathFilter(),
     df = add_once(df, {"code": code, "detail": detail})
     usable = df.filter(F.col("code").isNull() & F.col("kind").isin(SQL, UNDO_SQL, REPEATABLE))
     catalog = usable.withColumn("checksum", script_checksum(F.col("content"))) \
-        .withColumn("item_key", item_key()).select(*CATALOG_COLUMNS)
+        .withColumn("item_key", item_key()).select(
+        *CATALOG_COLUMNS, *[c for c in ("location_no",) if c in scripts.columns])
     bad = df.filter(F.col("code").isNotNull())
     return catalog, bad.select(*PROBLEM_COLUMNS).unionByName(duplicate_versions(catalog))
 
 
 def duplicate_versions(catalog: DataFrame) -> DataFrame:
-    """A 2002 row for every script whose version an earlier script (by path) has;
-    the detail names that script.  Undo scripts are compared among themselves."""
-    items = prepare_catalog(catalog).filter(F.col("vsort").isNotNull())
-    keys = ["target", "kind", "vsort"]
-    doubled = (items.groupBy(*keys).agg(F.min("script").alias("detail"), F.count("*").alias("n"))
+    """A 2002 row for every script whose version an earlier script has, by location
+    and path; the detail names that script.  Undo scripts are compared among
+    themselves.  One path in two locations is such a case, also for repeatables
+    (their version is none, so they are compared by path)."""
+    items = prepare_catalog(catalog)
+    place = F.col("location_no").cast("long") if "location_no" in items.columns else F.lit(0).cast("long")
+    items = items.select("target", "kind", F.coalesce(F.concat(F.lit("v"), F.col("vsort")), F.concat(F.lit("s"), F.col("script"))).alias("name"),
+                         "script", place.alias("place"))
+    keys = ["target", "kind", "name"]
+    first = F.struct("place", "script")
+    doubled = (items.groupBy(*keys).agg(F.min(first).alias("first"), F.count("*").alias("n"))
                .filter("n > 1"))
-    return (lookup(items.select(*keys, "script"), doubled, keys, ["script"], "inner", weight="n")
-            .filter(F.col("script") != F.col("detail"))
+    # Equal rows of one place and path (a folder given twice) are counted, and all but one reported.
+    counted = items.groupBy(*keys, "place", "script").agg(F.count("*").alias("times"))
+    later = (lookup(counted, doubled, keys, ["script"], "inner", weight="n")
+             .withColumn("times", F.col("times") - (F.col("first") == first).cast("long")).filter("times > 0"))
+    return (later.withColumn("detail", F.concat(F.col("first.script"), F.when(
+                F.col("first.script") == F.col("script"), F.concat(F.lit(" in location "), F.col("first.place").cast("string"))).otherwise("")))
             .withColumn("code", F.lit(DUPLICATE_VERSION))
+            .withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
             .select(*PROBLEM_COLUMNS))

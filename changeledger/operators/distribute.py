@@ -7,7 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# A key with more rows than this is spread over several tasks.
+from changeledger.schema import BAD_SETTING, LedgerError
+
+# A key with more rows than this is spread over several tasks.  It changes how
+# rows are dealt out, never the result.
 ROWS_PER_COPY = 1_000_000
 
 
@@ -44,13 +47,29 @@ def lookup(rows: DataFrame, facts: DataFrame, on: Sequence[str], spread_by: Sequ
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the folder from spark.checkpoint.dir; make one only where none is set."""
+    """Take the folder from spark.checkpoint.dir.
+
+    Executors must share it, so one is made only for a local session without the
+    setting; a cluster without it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise LedgerError(BAD_SETTING, "set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="changeledger-"))
 
 
+def fixed(facts: DataFrame) -> DataFrame:
+    """Facts (one row per target) computed once and kept in the checkpoint folder.
+
+    A plan that looks facts up several times would otherwise hold, and may run, all
+    that they come from as many times.  Starts a job.
+    """
+    use_checkpoint_dir(facts.sparkSession)
+    return facts.checkpoint()
+
+
 def number_rows(rows: DataFrame, group: Sequence[str], order: Sequence[Column],
                 name: str, total: str | None = None) -> DataFrame:
     """``row_number()`` of each row in its group, without a task per group; with

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changeledger.functions.arrays import add_once
 from changeledger.functions.versions import version_key
-from changeledger.schema import UNDO_SQL
+from changeledger.schema import BAD_SETTING, UNDO_SQL
 
 
 def item_key() -> Column:
@@ -22,10 +22,21 @@ def item_key() -> Column:
 def _with_target(df: DataFrame) -> DataFrame:
     """State that every row has a target, as the schema demands.  Joins on it would
     add the same check to one of two uses of an aggregate, and the aggregate would
-    then be computed twice instead of once."""
+    then be computed twice instead of once.  ``without_target`` reports the others."""
     return df.filter(F.col("target").isNotNull())
 
 
+def without_target(*frames: DataFrame) -> DataFrame:
+    """A 4002 row for every row of a catalog or ledger that has no target."""
+    found = None
+    for df in frames:
+        rows = df.filter(F.col("target").isNull()).select(
+            F.col("target").cast("string").alias("target"), F.lit(BAD_SETTING).alias("code"),
+            F.coalesce("script", F.lit("")).alias("script"), F.lit("a row without a target").alias("detail"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def _with_missing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return add_once(df, {n: c for n, c in columns.items() if n not in df.columns})
 

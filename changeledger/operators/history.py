@@ -10,8 +10,8 @@ from changeledger.functions.versions import version_key_of
 from changeledger.operators.distribute import lookup, number_rows
 from changeledger.operators.frames import executable, prepare_catalog, prepare_ledger
 from changeledger.schema import (
-    BASELINE, BASELINE_DESCRIPTION, BASELINE_NOT_EMPTY, BASELINE_SCRIPT, BASELINE_VERSION,
-    LEDGER_COLUMNS, MISSING_UNDO, PROBLEM_COLUMNS, SQL, UNDO_SQL)
+    BAD_SETTING, BASELINE, BASELINE_DESCRIPTION, BASELINE_NOT_EMPTY, BASELINE_SCRIPT,
+    BASELINE_VERSION, EXECUTION_FAILED, LEDGER_COLUMNS, MISSING_UNDO, PROBLEM_COLUMNS, SQL, UNDO_SQL)
 
 MAX_INT = 2 ** 31 - 1
 
@@ -51,16 +51,43 @@ def baseline(targets: DataFrame, ledger: DataFrame, version: str = BASELINE_VERS
 
 # -------------------------------------------------------------------- record
 
+def _numbered(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The plan with outcomes (NULL where there is none) and the ``place`` of each item."""
+    known = outcomes.select("target", "script", *[c for c in outcomes.columns if c not in ("target", "script")])
+    return number_rows(plan.join(known, ["target", "script"], "left"), ["target"],
+                       [F.col("run_order")], "place")
+
+
+def _stops(ran: DataFrame) -> DataFrame:
+    """Per target: the place of the first item that failed or has no outcome, and the number of items."""
+    done = F.coalesce(F.col("success"), F.lit(False))
+    return ran.groupBy("target").agg(F.min(F.when(~done, F.col("place"))).alias("stopped_at"),
+                                     F.count("*").alias("items"))
+
+
+def _ran() -> Column:
+    """Up to the stop; an item without an outcome did not run."""
+    return F.col("success").isNotNull() & (F.col("place") <= F.coalesce("stopped_at", "place"))
+
+
 def executed(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Planned items with an outcome, up to and including the first failure of each
-    target, and their ``place``; what comes after it did not run.  Starts a job."""
-    ran = number_rows(plan.join(outcomes, ["target", "script"]), ["target"],
-                      [F.col("run_order")], "place")
-    stops = ran.groupBy("target").agg(
-        F.min(F.when(~F.col("success"), F.col("place"))).alias("stopped_at"),
-        F.count("*").alias("items"))
-    rows = lookup(ran, stops, ["target"], ["script"], weight="items")
-    return rows.filter(F.col("place") <= F.coalesce("stopped_at", "place")).drop("stopped_at")
+    """Planned items that ran, and their ``place``: those up to and including the
+    first failure of each target, and before the first item without an outcome.
+    Starts a job."""
+    ran = _numbered(plan, outcomes)
+    return lookup(ran, _stops(ran), ["target"], ["script"], weight="items").filter(_ran()).drop("stopped_at")
+
+
+def record_problems(plan: DataFrame, outcomes: DataFrame, targets: DataFrame) -> DataFrame:
+    """What ``record_outcomes`` cannot take as it is: planned items without an
+    outcome (2010, the run of their target stops before them) and planned targets
+    without settings (4002, taken as not transactional)."""
+    asked = plan.select("target", "script")
+    missing = asked.join(outcomes.select("target", "script"), ["target", "script"], "left_anti").select(
+        "target", F.lit(EXECUTION_FAILED).alias("code"), "script", F.lit("no outcome").alias("detail"))
+    unset = asked.select("target").distinct().join(targets.select("target"), "target", "left_anti").select(
+        "target", F.lit(BAD_SETTING).alias("code"), F.lit("").alias("script"), F.lit("no settings of the target").alias("detail"))
+    return missing.unionByName(unset)
 
 
 def record_outcomes(plan: DataFrame, outcomes: DataFrame, targets: DataFrame, ledger: DataFrame,
@@ -70,11 +97,15 @@ def record_outcomes(plan: DataFrame, outcomes: DataFrame, targets: DataFrame, le
     ``outcomes``: target, script, success, elapsed_ms.  ``targets``: target,
     transactional; a failed item of a transactional target was rolled back and
     leaves no record.  As it is the last of its target, no rank is left free.
-    Starts a job.
+    A target without a row there is taken as not transactional; what has no outcome
+    did not run (``record_problems`` reports both).  Everything about a target is
+    one row, which meets its items in one join.  Starts a job.
     """
-    facts = targets.select("target", "transactional").join(highest_rank(ledger), "target", "left")
-    rows = lookup(executed(plan, outcomes), facts, ["target"], ["script"], "inner")
-    rows = rows.filter(F.col("success") | ~F.col("transactional"))
+    ran = _numbered(plan, outcomes)
+    facts = (_stops(ran).join(targets.select("target", "transactional"), "target", "left")
+             .join(highest_rank(ledger), "target", "left"))
+    rows = lookup(ran, facts, ["target"], ["script"], weight="items").filter(_ran())
+    rows = rows.filter(F.col("success") | ~F.coalesce("transactional", F.lit(False)))
     rank = F.coalesce(F.col("highest_rank"), F.lit(0)) + F.col("place")
     return rows.select(
         "target", rank.alias("installed_rank"), "version", "description",

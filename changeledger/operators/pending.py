@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from changeledger.functions.selection import VersionSelection
-from changeledger.operators.distribute import lookup, number_rows
+from changeledger.operators.distribute import fixed, lookup, number_rows
 from changeledger.operators.frames import executable, prepare_catalog, prepare_ledger, run_order
 from changeledger.schema import (
     BASELINE, FAILED_NEEDS_REPAIR, INVALID_VERSION, OUT_OF_ORDER_CODE, PROBLEM_COLUMNS, UNDO_SQL)
@@ -43,13 +43,15 @@ def verdicts(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection
     skip_baseline, skip_applied or skip_unchanged.
 
     Baseline records set the floor but do not count as applied versions here.
+    What is known about targets is computed first, in a job of its own, and meets
+    the items in one join.
     """
     ledger = prepare_ledger(ledger)
     items = executable(prepare_catalog(catalog)).filter(selection.predicate())
     latest = ledger.filter(F.col("type") != BASELINE).groupBy("target", "item_key").agg(
         F.max_by(F.struct("type", "vsort", "checksum"), "installed_rank").alias("last"))
     rows = lookup(items.join(latest, ["target", "item_key"], "left"),
-                  _target_facts(items, ledger, latest), on=["target"], spread_by=["item_key"],
+                  fixed(_target_facts(items, ledger, latest)), on=["target"], spread_by=["item_key"],
                   weight="items")
 
     versioned = F.col("vsort").isNotNull()
@@ -65,24 +67,32 @@ def verdicts(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection
 
 
 def pending(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection = EVERYTHING,
-            out_of_order: bool = False, by_directory: bool = False) -> DataFrame:
+            out_of_order: bool = False, by_directory: bool = False,
+            held: DataFrame | None = None) -> DataFrame:
     """Items to run, with their ``run_order`` key.  A target with a failed record,
-    or with an item out of order when that is not allowed, gets none."""
+    or with an item out of order when that is not allowed, gets none.
+
+    ``held`` (target, items) names more targets that get none, each with the
+    number of its items, or about that.
+    """
     judged = verdicts(catalog, ledger, selection, out_of_order)
     todo = judged.filter(F.col("verdict") == "pending").drop("verdict")
     if not out_of_order:
-        held = judged.groupBy("target").agg(
+        late = judged.groupBy("target").agg(
             F.count_if(F.col("verdict") == "out_of_order").alias("late"),
             F.count("*").alias("items")).filter("late > 0").drop("late")
+        held = late if held is None else held.unionByName(late)
+    if held is not None:
+        held = fixed(held.groupBy("target").agg(F.max("items").alias("items")))
         todo = lookup(todo, held, ["target"], ["item_key"], "left_anti", weight="items")
     return todo.withColumn("run_order", run_order(by_directory))
 
 
 def pending_problems(catalog: DataFrame, ledger: DataFrame,
                      selection: VersionSelection = EVERYTHING,
-                     out_of_order: bool = False) -> DataFrame:
+                     out_of_order: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """Why targets are held back: failed records (2004), a selection without any
-    hit (2001), items out of order (2006)."""
+    hit (2001), items out of order (2006).  ``targets``: those that are asked for."""
     failed = failed_gate(ledger).select(
         "target", F.lit(FAILED_NEEDS_REPAIR).alias("code"), "script",
         F.lit("failed record").alias("detail"))
@@ -90,14 +100,22 @@ def pending_problems(catalog: DataFrame, ledger: DataFrame,
         F.col("verdict") == "out_of_order").select(
         "target", F.lit(OUT_OF_ORDER_CODE).alias("code"), "script",
         F.concat(F.lit("version "), F.col("version")).alias("detail"))
-    return failed.unionByName(selection_without_hit(catalog, selection)).unionByName(late)
+    return failed.unionByName(selection_without_hit(catalog, selection, targets)).unionByName(late)
 
 
-def selection_without_hit(catalog: DataFrame, selection: VersionSelection) -> DataFrame:
-    """A 2001 row per target where an EXACT, FAMILY or REGEX selection finds nothing."""
+def selection_without_hit(catalog: DataFrame, selection: VersionSelection,
+                          targets: DataFrame | None = None) -> DataFrame:
+    """A 2001 row per target where an EXACT, FAMILY or REGEX selection finds nothing.
+
+    Targets are all of the catalog, those with undo scripts alone too, and of
+    ``targets``, which may have no script at all.
+    """
     expected = selection.regex or selection.target or ""
-    hits = executable(prepare_catalog(catalog)).groupBy("target").agg(
-        F.bool_or(selection.predicate()).alias("hit"))
+    found = prepare_catalog(catalog)
+    asked = found.select("target", (selection.predicate() & (F.col("kind") != UNDO_SQL)).alias("hit"))
+    if targets is not None:
+        asked = asked.unionByName(targets.select("target", F.lit(False).alias("hit")))
+    hits = asked.groupBy("target").agg(F.bool_or("hit").alias("hit"))
     return hits.filter(~F.col("hit") & F.lit(selection.must_hit)).select(
         "target", F.lit(INVALID_VERSION).alias("code"), F.lit("").alias("script"),
         F.lit(f"nothing matches {expected}").alias("detail")).select(*PROBLEM_COLUMNS)

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from changeledger.operators.state import FAILED, FUTURE, MISSING, effective
 from changeledger.schema import FAILED_NEEDS_REPAIR, LedgerError, MISMATCH, PROBLEM_COLUMNS, UNDO_SQL
 
+# Problems that an error message shows; the error carries all of them.
+SAMPLE = 20
+
 # Problem codes with their short texts.
 CODES = [
     ("1001", "Connection failed", "连接失败"),
@@ -30,40 +33,30 @@ CODES = [
     ("4005", "Migration location not found", "迁移位置不存在"),
 ]
 
-# What usually causes a code, and what to do about it.
+# What leads this library to a code, and what its user can do; codes that no
+# operator here gives have no advice.
 ADVICE = {
-    "1001": ("The address or the credentials are wrong, or the database is down.",
-             "Check the connection settings and that the database can be reached."),
-    "1002": ("The address prefix or product name is not a supported family.",
-             "Name the family explicitly."),
-    "1003": ("No driver for this family was found.", "Add the driver to the class path."),
-    "2001": ("A version does not start with a digit, has an empty or illegal part, or a file "
-             "name does not follow the naming rule.",
-             "Name the file <prefix><version>__<description>.sql."),
-    "2002": ("Two or more scripts have the same version.", "Give each script its own version."),
-    "2003": ("An applied script was changed, is not in the catalog, or is newer than it.",
-             "Repair only intended checksum changes; otherwise complete the catalog."),
-    "2004": ("The ledger holds records that failed.",
-             "Correct the script, repair the ledger, then run again."),
-    "2005": ("A repeatable script carries a number.",
-             "Rename it to an undo script or drop the number."),
-    "2006": ("A script that was not run is older than the highest applied version.",
-             "Allow out-of-order runs, or give the script a newer version."),
-    "2007": ("The ledger of the target already has records.",
-             "Baseline only a target without records."),
-    "2008": ("There is nothing to undo, or the version has no undo script.",
-             "Add the undo script of that version."),
-    "2009": ("A script uses a placeholder that has no value.",
-             "Give it a value or correct the script."),
-    "2010": ("A statement of a script failed.",
-             "Find the statement by its number and line, correct it and run again."),
-    "3001": ("Another run holds the lock of the target.", "Wait for it, or raise the time limit."),
-    "4001": ("A setting is not known.", "Correct or remove it."),
-    "4002": ("A required setting is missing or has a wrong form.", "Supply it."),
-    "4003": ("Cleaning is switched off.", "Switch it on if the target may be emptied."),
-    "4004": ("A file to be created is already there.", "Use an empty folder."),
-    "4005": ("A script location does not exist.", "Correct the location."),
+    "2001": ("No version could be read from a name, it is outside its folder's family, or a "
+             "selection found nothing.", "Correct the name, move the file or change the selection."),
+    "2002": ("A version, or a path of several locations, is there more than once.",
+             "Keep one of the scripts that the rows name."),
+    "2003": ("Catalog and ledger disagree about a script that ran.",
+             "Bring back the script, or take over its new checksum with repair()."),
+    "2004": ("The latest record of an item is a failure.", "Correct the script, then repair()."),
+    "2005": ("A repeatable has a number.", "Take the number out of its name."),
+    "2006": ("An item is older than what its target has reached.",
+             "Plan with out_of_order, or number it anew."),
+    "2007": ("The target has records already.", "Leave it out of the baseline."),
+    "2008": ("Nothing can be taken back, or the catalog lacks the script for it.",
+             "Add an undo script of the version in the detail."),
+    "2009": ("A text uses a name without a value.", "Add the name to the target's placeholders."),
+    "2010": ("A script stopped, has no text, or its outcome is not known.",
+             "Look at the statement or script that the row names, then plan again."),
+    "4001": ("A setting has a name that is not known.", "Take the nearest known name."),
+    "4002": ("A setting or a column that a row needs is missing or cannot be read.", "Supply it."),
+    "4005": ("A folder of scripts is not there.", "Correct its location."),
 }
+NO_ADVICE = (None, None)
 
 
 def _found() -> Column:
@@ -104,7 +97,7 @@ def severity(code: Column) -> Column:
 
 def with_explanations(problems: DataFrame, from_validation: bool = False) -> DataFrame:
     """Add texts and severity; problems of a validation have severity 2."""
-    rows = [(*code, *ADVICE[code[0]]) for code in CODES]
+    rows = [(*code, *ADVICE.get(code[0], NO_ADVICE)) for code in CODES]
     codes = problems.sparkSession.createDataFrame(
         rows, "code string, summary string, summary_zh string, cause string, action string")
     level = F.lit(2) if from_validation else severity(F.col("code"))
@@ -118,8 +111,14 @@ def problems_per_target(problems: DataFrame) -> DataFrame:
 
 
 def assert_no_problems(problems: DataFrame) -> None:
-    """Raise LedgerError naming a few of the problems, if there are any."""
-    found = problems.select(*PROBLEM_COLUMNS).limit(20).collect()
-    if found:
-        lines = "; ".join(f"{r.target} {r.code} {r.script}: {r.detail}" for r in found)
-        raise LedgerError(found[0].code, lines)
+    """Raise LedgerError if there are problems.
+
+    The message has their number and a sample; ``problems`` of the error is the
+    whole frame.
+    """
+    found = problems.select(*PROBLEM_COLUMNS)
+    sample = found.take(SAMPLE)
+    if sample:
+        count = len(sample) if len(sample) < SAMPLE else found.count()
+        lines = "; ".join(f"{r.target} {r.code} {r.script}: {r.detail}" for r in sample)
+        raise LedgerError(sample[0].code, f"{count} problems, for example {lines}", found)

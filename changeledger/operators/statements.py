@@ -72,6 +72,13 @@ def plan_texts(plan: DataFrame, scripts: DataFrame) -> DataFrame:
     return scripts.select("target", "script", "text").join(wanted, ["target", "script"])
 
 
+def missing_texts(plan: DataFrame, scripts: DataFrame) -> DataFrame:
+    """A 2010 row for every planned script without a text."""
+    known = scripts.filter(F.col("text").isNotNull()).select("target", "script")
+    return plan.select("target", "script").join(known, ["target", "script"], "left_anti").select(
+        "target", F.lit(EXECUTION_FAILED).alias("code"), "script", F.lit("the script has no text").alias("detail"))
+
+
 def dry_run(plan: DataFrame, scripts: DataFrame, targets: DataFrame | None = None,
             dialect: Dialect = POSTGRESQL, substitution: bool = True,
             marks: Marks = DEFAULT_MARKS) -> DataFrame:
@@ -93,17 +100,17 @@ def failing_statements(statements: DataFrame, outcomes: DataFrame, batch_size: i
     ``outcomes``: target, script, success, batch_no (from 0; with batch size 1 the
     statement's place), applied_in_batch.  In a batch the number follows from how
     many statements were applied, and the line is that of the last statement of
-    the batch at most.
+    the batch at most.  ``statements``: target, script, stmt_no, line.
     """
     size = max(batch_size, 1)
-    totals = statements.groupBy("script").agg(F.max("stmt_no").alias("total"))
-    failed = lookup(outcomes.filter(~F.col("success")), totals, ["script"], ["target"], "inner")
+    totals = statements.groupBy("target", "script").agg(F.max("stmt_no").alias("total"))
+    failed = outcomes.filter(~F.col("success")).join(totals, ["target", "script"])
     start = F.col("batch_no") * size + 1
     applied = F.col("applied_in_batch") if batch_size > 1 else F.lit(0)
     failed = failed.select(
         "target", "script", (start + applied).cast("int").alias("failing_no"),
         F.least(start + applied, start + size - 1, F.col("total")).cast("int").alias("stmt_no"))
-    lines = statements.select("script", "stmt_no", "line")
-    return lookup(failed, lines, ["script", "stmt_no"], ["target"], "inner").select(
+    lines = statements.select("target", "script", "stmt_no", "line")
+    return failed.join(lines, ["target", "script", "stmt_no"]).select(
         "target", F.lit(EXECUTION_FAILED).alias("code"), "script",
         F.col("failing_no").alias("stmt_no"), "line")

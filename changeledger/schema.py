@@ -54,6 +54,7 @@ LOCATION_NOT_FOUND = "4005"
 class LedgerError(Exception):
     """A mistake in the arguments, or problems the caller asked to have raised."""
 
-    def __init__(self, code: str, message: str):
+    def __init__(self, code: str, message: str, problems=None):
         super().__init__(f"{code}: {message}")
         self.code = code
+        self.problems = problems  # frame of all problem rows, where there is one

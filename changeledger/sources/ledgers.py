@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from changeledger.operators.frames import prepare_ledger
+from changeledger.operators.frames import prepare_catalog, prepare_ledger
 from changeledger.schema import LEDGER_COLUMNS, LEDGER_SCHEMA
 
 _ABSENT = {"PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"}
@@ -31,7 +31,7 @@ def in_rank_order(ledger: DataFrame) -> DataFrame:
 
 def create_ledger_table(spark: SparkSession, table: str) -> None:
     """Create an empty ledger table; does nothing when it exists."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER_SCHEMA)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in LEDGER_SCHEMA)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet")
 
 
@@ -54,7 +54,7 @@ def save_bucketed(frame: DataFrame, table: str, buckets: int) -> None:
     Catalog and ledger stored with the same number of buckets meet in
     ``state_view`` and ``verdicts`` without a shuffle of either.
     """
-    keyed = frame if "item_key" in frame.columns else prepare_ledger(frame)
-    (keyed.withColumn("item_key", F.col("item_key")).write.format("parquet")
+    prepare = prepare_catalog if "kind" in frame.columns else prepare_ledger
+    (prepare(frame).withColumn("item_key", F.col("item_key")).write.format("parquet")
      .bucketBy(buckets, "target", "item_key").sortBy("target", "item_key")
      .mode("errorifexists").saveAsTable(table))

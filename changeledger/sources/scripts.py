@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,28 +13,49 @@ from changeledger.schema import BAD_SETTING, LOCATION_NOT_FOUND, LedgerError
 FILESYSTEM_PREFIX = "filesystem:"
 
 
+def qualified(spark: SparkSession, location: str) -> str:
+    """A folder with scheme and without ``.``, ``..`` and a final slash, as scans name it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    scheme, _, rest = full.toString().partition(":")
+    host, slash, inside = rest.removeprefix("//").partition("/") if rest.startswith("//") else ("", "/", rest.lstrip("/"))
+    parts: list[str] = []
+    for part in inside.split("/"):
+        if part == "..":
+            parts = parts[:-1]
+        elif part not in ("", "."):
+            parts.append(part)
+    return f"{scheme}:{'//' + host if host else ''}/" + "/".join(parts)
+
+
+def glob_escaped(path: str) -> str:
+    """A path in which no character stands for others."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def read_scripts(spark: SparkSession, locations: Sequence[str], name_glob: str = "*.sql") -> DataFrame:
     """location_no, script, content of all files below the locations.
 
     ``script`` is the path below its location.  A location is ``filesystem:`` +
-    any path Spark can read.  ``name_glob`` is applied before files are opened;
+    any path Spark can read, relative and with ``..`` as well.  ``name_glob`` is applied before files are opened;
     ``content`` is only read when it is used.
     """
     frames = []
     for number, location in enumerate(locations):
         if not location.startswith(FILESYSTEM_PREFIX):
             raise LedgerError(BAD_SETTING, f"location must start with {FILESYSTEM_PREFIX}: {location}")
-        root = location.removeprefix(FILESYSTEM_PREFIX).rstrip("/")
+        root = qualified(spark, location.removeprefix(FILESYSTEM_PREFIX))
         try:
             files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                     .option("pathGlobFilter", name_glob).load(root))
+                     .option("pathGlobFilter", name_glob).load(glob_escaped(root)))
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 raise LedgerError(LOCATION_NOT_FOUND, f"no such location: {root}") from error
             raise
-        # The scan gives absolute paths; the location is in front of the script.
-        inside = F.instr("path", f"{root}/") + F.lit(len(root) + 1)
-        script = F.substring(F.col("path"), inside, F.length("path"))
+        # The scan gives qualified paths; the location is in front of the script.
+        path = F.regexp_replace(F.col("path"), "^([a-z0-9]+):///", "$1:/")
+        script = F.when(path.startswith(f"{root}/"), F.substring(path, len(root) + 2, 2 ** 31 - 1)).otherwise(
+            F.raise_error(F.concat(F.lit(f"{LOCATION_NOT_FOUND}: not below {root}: "), path)))
         frames.append(files.filter(F.col("path").endswith(".sql")).select(
             F.lit(number).alias("location_no"), script.alias("script"), "content"))
     if not frames:

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeledger.functions.splitter import MYSQL
+from changeledger.functions.versions import version_key_of
 from changeledger.operators.history import (
-    baseline, record_outcomes, repair, repair_counts, undo_plan, version_reached)
+    baseline, record_outcomes, record_problems, repair, repair_counts, undo_plan, version_reached)
 from changeledger.operators.pending import pending, with_progress
 from changeledger.plans.commands import Reconciler
 from changeledger.schema import LEDGER_SCHEMA, LedgerError
@@ -48,11 +49,22 @@ def test_record_stops_at_first_failure(spark, catalog, ledger):
     assert [f.dataType for f in found.schema] == [f.dataType for f in LEDGER_SCHEMA]
 
 
-def test_items_without_outcome_did_not_run(spark, catalog, ledger):
-    items, records = catalog(("a", "V", "1", 1), ("a", "R", "r", 1)), ledger(("x", 1, "SQL", "1", 1, True))
-    found = record_outcomes(pending(items, records), outcomes(spark, ("a", "R__r.sql", True, 4)),
-                            targets(spark, a=True), records, installed_on=MOMENT)
-    assert record_columns(found) == [("a", 1, None, "SQL", "R__r.sql", True, 4)]
+def test_a_run_stops_before_an_item_without_outcome(spark, catalog, ledger):
+    items = catalog(*[(t, "V", v, 1) for t in "ab" for v in ("1", "2", "3")])
+    records = ledger(("x", 1, "SQL", "1", 1, True))
+    done = outcomes(spark, ("a", "V1__1.sql", True, 4), ("a", "V3__3.sql", True, 4), ("b", "V2__2.sql", True, 4))
+    plan = pending(items, records)
+    found = record_outcomes(plan, done, targets(spark, a=True), records, installed_on=MOMENT)
+    assert record_columns(found) == [("a", 1, "1", "SQL", "V1__1.sql", True, 4)]
+    assert rows(record_problems(plan, done, targets(spark, a=True)), "target", "code", "script") == [
+        ("a", "2010", "V2__2.sql"), ("b", "2010", "V1__1.sql"), ("b", "2010", "V3__3.sql"), ("b", "4002", "")]
+
+
+def test_a_target_without_settings_is_not_transactional(spark, catalog, ledger):
+    items, records = catalog(("a", "V", "1", 1)), ledger(("a", 4, "SQL", "0", 1, True))
+    found = record_outcomes(pending(items, records), outcomes(spark, ("a", "V1__1.sql", False, 4)),
+                            targets(spark, z=True), records, installed_on=MOMENT)
+    assert record_columns(found) == [("a", 5, "1", "SQL", "V1__1.sql", False, 4)]
 
 
 def test_version_reached(catalog, ledger):
@@ -117,7 +129,7 @@ def test_failure_then_repair_then_rerun(spark, catalog, ledger, transactional):
         run = Reconciler(items, records, where)
     assert rows(run.plan(), "script") == [("V2__2.sql",)]
     written = run.record(outcomes(spark, ("t", "V2__2.sql", True, 1)), installed_on=MOMENT)
-    assert rows(run.summary(written.withColumn("vsort", F.lit("000012"))), "target", "executed", "version") == [
+    assert rows(run.summary(written.withColumn("vsort", F.lit(version_key_of("2")))), "target", "executed", "version") == [
         ("t", 1, "2"), ("x", None, "1")]
     records = records.unionByName(written)
     run = Reconciler(items, records, where)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from changeledger.functions.selection import VersionSelection
 from changeledger.functions.versions import version_key
+from changeledger.functions.paths import PathFilter, version_group
 from changeledger.operators.pending import range_end_warning, selection_without_hit
 from changeledger.schema import LedgerError
 
@@ -57,6 +58,21 @@ def test_without_hit(catalog):
     assert selection_without_hit(items, VersionSelection(start="9")).count() == 0
 
 
+def test_targets_without_executable_items_have_no_hit(spark, catalog):
+    items = catalog(("a", "V", "1", 1), ("b", "U", "1", 1))
+    asked = spark.createDataFrame([("a",), ("c",)], "target string")
+    found = selection_without_hit(items, VersionSelection(target="1"), asked).collect()
+    assert sorted(r.target for r in found) == ["b", "c"]
+
+
+def test_bad_regex_is_refused_before_a_job(spark):
+    for make in (lambda: VersionSelection(mode="regex", regex="("), lambda: PathFilter(file_regex="[a"),
+                 lambda: version_group("(?<version>x")):
+        with pytest.raises(LedgerError) as error:
+            make()
+        assert error.value.code == "4002"
+
+
 def test_range_end_warning(catalog):
     items = catalog(*[("a", "V", f"2.{i}", 1) for i in range(12, 0, -1)], ("a", "V", "1", 1),
                     ("a", "V", "3", 1), ("a", "U", "2.50", 1), ("b", "V", "1", 1), ("b", "V", "02.1.0", 1))

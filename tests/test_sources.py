@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from changeledger.operators.catalog import build_catalog
 from changeledger.operators.frames import prepare_catalog, prepare_ledger
 from changeledger.operators.state import state_view
 from changeledger.operators.suggest import nearest_key
+from changeledger.plans.commands import Reconciler
 from changeledger.schema import LEDGER_SCHEMA, LedgerError
 from changeledger.sources.ledgers import (
     append_records, create_ledger_table, in_rank_order, read_ledger, save_bucketed, write_snapshot)
@@ -38,6 +41,44 @@ def test_read_scripts(spark, folders):
     assert "content" not in paths_only.split("BinaryFile")[-1].split("ReadSchema")[-1]
 
 
+def test_roots_are_qualified(spark, tmp_path, monkeypatch):
+    """Relative, dotted and URI roots, one whose name ends an earlier folder, and signs that mean patterns."""
+    root = tmp_path / "mysql" / "project" / "sql"
+    for folder in (root, tmp_path / "a b[1]{x}*"):
+        (folder / "d").mkdir(parents=True)
+        (folder / "d" / "V1__a.sql").write_text("x")
+    monkeypatch.chdir(tmp_path)
+    here = [f"{root}", f"{root}/", f"file://{root}", f"file:{root}", f"{root}/../sql", f"{root}/./d/..", f"{tmp_path}/a b[1]{{x}}*"]
+    for location in here:
+        assert rows(read_scripts(spark, [f"filesystem:{location}"]), "script") == [("d/V1__a.sql",)], location
+    working = spark._jvm.java.lang.System.getProperty("user.dir")
+    relative = os.path.relpath(root, working)
+    assert rows(read_scripts(spark, [f"filesystem:{relative}"]), "script") == [("d/V1__a.sql",)]
+
+
+def test_one_path_in_two_locations(spark, folders):
+    scripts = read_scripts(spark, folders).withColumn("target", F.lit("t"))
+    items, problems = build_catalog(scripts)
+    assert rows(problems, "code", "script", "detail") == [("2002", "R__v.sql", "R__v.sql in location 0")]
+    twice = build_catalog(read_scripts(spark, [folders[0], folders[0]]).withColumn("target", F.lit("t")).drop("location_no"))[1]
+    assert twice.count() == 2
+
+
+def test_a_target_with_a_duplicate_plans_nothing(spark, ledger):
+    names = [("bad", "V1__a.sql"), ("bad", "V1.0__b.sql"), ("bad", "U1__a.sql"), ("good", "V1__a.sql"), ("good", "R__r.sql")]
+    scripts = spark.createDataFrame([(t, n, bytearray(b"x")) for t, n in names], "target string, script string, content binary")
+    items, problems = build_catalog(scripts)
+    known = ledger(("bad", 1, "SQL", "0", 1, True))
+    nameless = known.withColumn("target", F.lit(None).cast("string"))
+    run = Reconciler(items, known.unionByName(nameless), catalog_problems=problems, validate_first=False)
+    assert rows(run.plan(), "target", "script") == [("good", "R__r.sql"), ("good", "V1__a.sql")]
+    assert rows(run.plan_problems(), "target", "code") == [("bad", "2002"), (None, "4002")]
+    texts = spark.createDataFrame([("good", "V1__a.sql", "select 1;")], "target string, script string, text string")
+    statements, found = run.dry_run(texts)
+    assert rows(statements, "target", "sql") == [("good", "select 1")]
+    assert rows(found, "target", "code", "script") == [("good", "2010", "R__r.sql")]
+
+
 def test_bad_locations(spark, tmp_path):
     for location, code in [(f"filesystem:{tmp_path}/none", "4005"), (f"classpath:{tmp_path}", "4002")]:
         with pytest.raises(LedgerError) as error:

@@ -79,8 +79,9 @@ def test_problems(mixed):
     assert rows(found, "target", "code", "script", "detail") == [
         ("t", "2003", "V1__1.sql", "checksum local=1 recorded=9"), ("t", "2003", "V3__3.sql", "MISSING"),
         ("t", "2003", "V7__7.sql", "FUTURE"), ("t", "2004", "V2__2.sql", "FAILED")]
-    with pytest.raises(LedgerError):
+    with pytest.raises(LedgerError) as error:
         assert_no_problems(found)
+    assert error.value.problems.count() == 4 and "4 problems" in str(error.value)
     assert_no_problems(found.filter("target = 'u'"))
     assert rows(problems_per_target(found), "target", "code", "problems") == [("t", "2003", 3), ("t", "2004", 1)]
 

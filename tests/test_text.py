@@ -164,8 +164,8 @@ def test_sums_before(spark):
 
 
 def test_batches_and_failures(spark):
-    statements = spark.createDataFrame([("s", n, n * 10) for n in range(1, 8)], "script string, stmt_no int, line int")
-    batches = with_batches(statements, 3).orderBy("stmt_no").collect()
+    statements = spark.createDataFrame([(t, "s", n, n * 10) for t in "abcd" for n in range(1, 8)], "target string, script string, stmt_no int, line int")
+    batches = with_batches(statements.filter("target = 'a'"), 3).orderBy("stmt_no").collect()
     assert [r.batch_no for r in batches] == [0, 0, 0, 1, 1, 1, 2]
     schema = "target string, script string, success boolean, batch_no int, applied_in_batch int"
     outcomes = spark.createDataFrame(
@@ -174,3 +174,12 @@ def test_batches_and_failures(spark):
     assert found == {"a": (5, 50), "b": (4, 30), "c": (8, 70)}
     one = spark.createDataFrame([("a", "s", False, 4, 0)], schema)
     assert [(r.code, r.stmt_no, r.line) for r in failing_statements(statements, one).collect()] == [("2010", 5, 50)]
+
+
+def test_failures_of_one_name_in_two_targets(spark):
+    statements = spark.createDataFrame([("a", "s", 1, 1), ("a", "s", 2, 2), ("b", "s", 1, 1), ("b", "s", 2, 4), ("b", "s", 3, 9)],
+                                       "target string, script string, stmt_no int, line int")
+    outcomes = spark.createDataFrame([("a", "s", False, 1, 0), ("b", "s", False, 1, 0)],
+                                     "target string, script string, success boolean, batch_no int, applied_in_batch int")
+    found = sorted((r.target, r.stmt_no, r.line) for r in failing_statements(statements, outcomes).collect())
+    assert found == [("a", 2, 2), ("b", 2, 4)]

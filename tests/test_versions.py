@@ -75,3 +75,13 @@ def test_key_comparison_reaches_the_scan(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "c"))
     plan = stored.filter(F.col("vsort") >= version_key_of("1.2"))._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(vsort), GreaterThanOrEqual(vsort," in plan
+
+
+def test_numbers_of_any_length(spark):
+    """The key of a column is that of a literal, and the order is that of the numbers."""
+    digits = [1, 9, 10, 99, 9_999, 10_000, 123_456]
+    values = [d * "1" for d in digits] + [d * "9" for d in digits] + ["0", "00", "0" * 20_000 + "1"]
+    keys = {r.v: r.k for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", version_key(F.col("v")).alias("k")).collect()}
+    assert keys == {v: version_key_of(v) for v in values}
+    number = {v: (len(v.lstrip("0")), v.lstrip("0")) for v in values}
+    assert all((keys[a] < keys[b]) == (number[a] < number[b]) for a in values for b in values)

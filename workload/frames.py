@@ -7,14 +7,11 @@ catalog after they had run.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from changeledger.schema import BASELINE, REPEATABLE, SQL, UNDO_SQL
 
 
-@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -123,6 +120,29 @@ def statement_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts(spark, sf_dir).select("target", "script", as_statements(F.col("text")).alias("text"))
 
 
+def shared_names(frame: DataFrame) -> DataFrame:
+    """Scripts under names that other targets use for other texts; needs doc_id."""
+    return frame.withColumn("script", F.concat(F.lit("s"), F.floor(F.col("doc_id") / 20).cast("string")))
+
+
+def _page_of(script: Column) -> Column:
+    return F.regexp_extract(script, r"(\d+)\.sql$", 1).cast("long")
+
+
+def page_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_scripts with the pages of a language dealt to fifty targets."""
+    return page_scripts(spark, sf_dir).withColumn(
+        "target", F.concat("target", F.lit("-"), (_page_of(F.col("script")) % 50).cast("string")))
+
+
+def page_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second page in location 0, every third one in location 1; some in both."""
+    pages = page_scripts(spark, sf_dir)
+    page = _page_of(F.col("script"))
+    return pages.filter(page % 2 == 0).withColumn("location_no", F.lit(0)).unionByName(
+        pages.filter(page % 3 == 0).withColumn("location_no", F.lit(1)))
+
+
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, path (host and path of the URL), html."""
     return table(spark, sf_dir, "pages").select(

@@ -6,6 +6,8 @@ from, so the SQL shares no version logic with the library.
 
 from __future__ import annotations
 
+from workload.crc_sql import CRC_TABLE, crc32
+
 FRAMES = """
 numbered AS (
   SELECT doc_id, source AS target, lang, text, CAST(n_chars AS INTEGER) AS checksum,
@@ -222,6 +224,22 @@ REPORT_STATES = """CASE state WHEN 'PENDING' THEN '待执行' WHEN 'SUCCESS' THE
     WHEN 'OUTDATED' THEN '待更新' WHEN 'BASELINE' THEN '基准' WHEN 'UNDONE' THEN '已撤销' END"""
 
 
+# The same records where every ninth document has no outcome and one target no settings.
+PARTIAL = (RECORDS.replace("p.checksum % 5 <> 0 AS ok", "p.doc_id % 9 <> 0 AS there, p.doc_id % 9 <> 0 AND p.checksum % 5 <> 0 AS ok")
+           .replace("OR place <= stopped)", "OR place <= stopped) AND there")
+           .replace("substr(target, 4) AS INTEGER) % 2 <> 0)", "substr(target, 4) AS INTEGER) % 2 <> 0 OR target = 'src5')"))
+
+STRICT = f"""SELECT target FROM problems UNION SELECT target FROM verdicts WHERE verdict = 'out_of_order'"""
+
+
+def _checksum(source: str, name: str, column: str) -> str:
+    """Line ends as LF, no byte order mark, CRC-32 as a signed integer."""
+    clean = rf"regexp_replace(regexp_replace({column}, '^\x{{FEFF}}', ''), '\r\n?', chr(10), 'g')"
+    crc = crc32(f"hex(encode({clean}))")
+    return (f"SELECT concat('{source[0]}', {name}) AS script, CAST(CASE WHEN c >= 2147483648 THEN c - 4294967296 ELSE c END AS INTEGER) AS checksum "
+            f"FROM (SELECT {name}, {crc} AS c FROM {source}, crc_table)")
+
+
 def _nearest(known: list[str]) -> str:
     values = ", ".join(f"({i}, '{w}')" for i, w in enumerate(known))
     return f"""WITH known(place, name) AS (VALUES {values}),
@@ -370,6 +388,45 @@ def build(known_words: list[str]) -> dict[str, str]:
             SELECT f.target, '2010' AS code, f.script, CAST(f.start + f.applied AS INTEGER) AS stmt_no, s.line
             FROM stopped f JOIN statements s ON s.script = f.script
               AND s.stmt_no = least(f.start + f.applied, f.start + 2, f.total)""",
+        "failing_by_target": f"""WITH {FRAMES.replace("concat(lang, '/', CASE", "concat('s', doc_id // 20) AS script, concat(lang, '/', CASE").replace("'.sql') AS script", "'.sql') AS long_name")},
+            {STATEMENTS.replace("PARTITION BY script", "PARTITION BY target, script")},
+            stopped AS (SELECT target, script, any_value(doc_id % 4) * 3 + 1 AS start,
+              any_value(checksum % 3) AS applied, max(stmt_no) AS total FROM statements
+              WHERE checksum % 5 = 0 GROUP BY target, script)
+            SELECT f.target, '2010' AS code, f.script, CAST(f.start + f.applied AS INTEGER) AS stmt_no, s.line
+            FROM stopped f JOIN statements s ON s.script = f.script AND s.target = f.target
+              AND s.stmt_no = least(f.start + f.applied, f.start + 2, f.total)""",
+        "plan_default": f"""WITH {SPLIT_PROBLEMS}{_verdicts(strict=True).removeprefix(LATEST)}
+            SELECT target, script FROM plan WHERE target NOT IN ({STRICT})""",
+        "dry_run_default": f"""WITH {SPLIT_PROBLEMS}{_verdicts(strict=True).removeprefix(LATEST)}, {STATEMENTS}
+            SELECT s.target, s.script, stmt_no, line, sql
+            FROM statements s JOIN plan p ON p.target = s.target AND p.script = s.script
+            WHERE p.target NOT IN ({STRICT})""",
+        "gated_plan": f"""WITH {PAGES.replace("'/([a-z]+)/', 1) AS target", "'/([a-z]+)/', 1) || '-' || page_id % 50 AS target")},
+            doubled AS (SELECT target FROM placed WHERE kind = 'SQL' AND fits
+              GROUP BY target, major, page_id % 2 HAVING count(*) > 1)
+            SELECT target, script FROM placed WHERE kind IN ('SQL', 'REPEATABLE') AND target NOT IN (
+              SELECT target FROM placed WHERE kind IN ('2001', '2005') OR NOT fits UNION SELECT target FROM doubled)""",
+        "duplicate_locations": f"""WITH {PAGES}, both_ AS (
+              SELECT *, 0 AS place FROM files WHERE page_id % 2 = 0 UNION ALL SELECT *, 1 FROM files WHERE page_id % 3 = 0),
+            named2 AS (SELECT target, script, place, row_number() OVER w AS nr, first_value(script) OVER w AS first_script,
+                first_value(place) OVER w AS first_place FROM both_ WHERE kind IN ('SQL', 'REPEATABLE')
+              WINDOW w AS (PARTITION BY target, kind, CASE WHEN kind = 'SQL' THEN concat('v', major, '.', page_id % 2) ELSE script END
+                ORDER BY place, script))
+            SELECT target, '2002' AS code, script, concat(first_script, CASE WHEN first_script = script
+              THEN concat(' in location ', first_place) ELSE '' END) AS detail FROM named2 WHERE nr > 1""",
+        "record_partial": f"WITH {PLAN}{PARTIAL}",
+        "record_problems": f"""WITH {PLAN} SELECT target, '2010' AS code, script, 'no outcome' AS detail FROM plan
+            WHERE doc_id % 9 = 0 UNION ALL SELECT DISTINCT target, '4002', '', 'no settings of the target' FROM plan
+            WHERE target = 'src5'""",
+        "no_hit_asked": f"""WITH {LATEST}, asked AS (SELECT target FROM catalog UNION SELECT source FROM documents
+              UNION SELECT c_name FROM customer)
+            SELECT target, '2001' AS code, '' AS script, 'nothing matches 3.7' AS detail FROM asked
+            WHERE target NOT IN (SELECT target FROM visible WHERE vnum = 37 AND vnum % 3 <> 1)""",
+        "missing_texts": f"""WITH {PLAN} SELECT target, '2010' AS code, p.script, 'the script has no text' AS detail
+            FROM plan p WHERE length(replace(replace(replace(replace(replace(text, '"', ' '), '$', ' '), '.', ';'),
+              ',', ' '';'' '), '|', concat(' /* ;', chr(10), ' */ '))) % 7 = 0""",
+        "checksum": f"WITH {CRC_TABLE} {_checksum('documents', 'doc_id', 'text')} UNION ALL {_checksum('pages', 'page_id', 'html')}",
         "dry_run": f"""WITH {PLAN}, {STATEMENTS} SELECT s.target, s.script, s.kind, stmt_no, line, sql
             FROM statements s JOIN plan p ON p.target = s.target AND p.script = s.script""",
         "redact": r"""SELECT doc_id, replace(regexp_replace(regexp_replace(concat('jdbc:x://user:', source,

@@ -15,9 +15,10 @@ from changeledger.operators import state as state_ops
 from changeledger.operators.catalog import build_catalog, classify, duplicate_versions
 from changeledger.operators.report import info_report
 from changeledger.operators.statements import (
-    dry_run, failing_statements, placeholder_problems, resolve_text)
+    dry_run, failing_statements, missing_texts, placeholder_problems, resolve_text)
 from changeledger.operators.suggest import nearest_key
 from changeledger.plans.commands import Reconciler
+from changeledger.schema import LEDGER_SCHEMA
 from workload import frames as fx
 
 KNOWN_WORDS = ["the", "and", "worthless", "international", "whst", "einachie", "quality"]
@@ -251,6 +252,64 @@ def failing(spark, sf):
                               fx.outcomes(spark, sf), batch_size=3)
 
 
+def failing_by_target(spark, sf):
+    named = fx.shared_names(fx.scripts(spark, sf))
+    texts = named.select("target", "script", fx.as_statements(F.col("text")).alias("text"))
+    done = named.select("target", "script", (F.col("checksum") % 5 != 0).alias("success"),
+                        (F.col("doc_id") % 4).cast("int").alias("batch_no"),
+                        (F.col("checksum") % 3).alias("applied_in_batch"))
+    return failing_statements(split_statements(texts), done, batch_size=3)
+
+
+def _default(spark, sf) -> Reconciler:
+    return Reconciler(fx.split_targets(fx.catalog(spark, sf)), fx.split_targets(fx.ledger(spark, sf)))
+
+
+def plan_default(spark, sf):
+    return _default(spark, sf).plan().select("target", "script")
+
+
+def dry_run_default(spark, sf):
+    texts = fx.split_targets(fx.scripts(spark, sf)).select(
+        "target", "script", fx.as_statements(F.col("text")).alias("text"))
+    return _default(spark, sf).dry_run(texts)[0].select("target", "script", "stmt_no", "line", "sql")
+
+
+def gated_plan(spark, sf):
+    catalog, found = build_catalog(fx.page_fleet(spark, sf), directory_versions=True)
+    empty = spark.createDataFrame([], LEDGER_SCHEMA)
+    return Reconciler(catalog, empty, catalog_problems=found).plan().select("target", "script")
+
+
+def duplicate_locations(spark, sf):
+    return build_catalog(fx.page_locations(spark, sf))[1].filter("code = '2002'")
+
+
+def _partial_outcomes(spark, sf):
+    number = F.regexp_extract("script", r"__d(\d+)\.sql", 1).cast("long")
+    return fx.outcomes(spark, sf).filter(number % 9 != 0)
+
+
+def record_partial(spark, sf):
+    some = fx.targets(spark, sf).filter("target <> 'src5'")
+    return history.record_outcomes(_plan(spark, sf), _partial_outcomes(spark, sf), some,
+                                   fx.ledger(spark, sf), "runner", _moment())
+
+
+def record_problems(spark, sf):
+    some = fx.targets(spark, sf).filter("target <> 'src5'")
+    return history.record_problems(_plan(spark, sf), _partial_outcomes(spark, sf), some)
+
+
+def no_hit_asked(spark, sf):
+    return pending_ops.selection_without_hit(fx.catalog(spark, sf), NO_HIT, fx.fleet(spark, sf))
+
+
+def missing_texts_of_plan(spark, sf):
+    texts = fx.statement_scripts(spark, sf).filter(F.length("text") % 7 != 0)
+    return missing_texts(_plan(spark, sf), texts)
+
+
 def dry_run_plan(spark, sf):
     return dry_run(_plan(spark, sf), fx.statement_scripts(spark, sf), fx.targets(spark, sf)).select(
         "target", "script", "kind", "stmt_no", "line", "sql")
@@ -325,6 +384,15 @@ QUERIES = {
     "split_statements": split,
     "statement_batches": statement_batches,
     "failing_statement": failing,
+    "failing_by_target": failing_by_target,
+    "plan_default": plan_default,
+    "dry_run_default": dry_run_default,
+    "gated_plan": gated_plan,
+    "duplicate_locations": duplicate_locations,
+    "record_partial": record_partial,
+    "record_problems": record_problems,
+    "no_hit_asked": no_hit_asked,
+    "missing_texts": missing_texts_of_plan,
     "dry_run": dry_run_plan,
     "redact": masked,
     "nearest_key": nearest,
