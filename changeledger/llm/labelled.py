@@ -31,4 +31,6 @@ def fit(sample: DataFrame, train: Callable[[Iterator[pa.RecordBatch]], object])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(batches))], pa.binary())], ["model"])
 
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("of_id"), "of_id")
-    return pickle.loads(ordered.mapInArrow(task, "model binary").first()["model"])
+    row = ordered.mapInArrow(task, "model binary").first()
+    # a plan that is known to be empty runs no task
+    return pickle.loads(row["model"]) if row is not None else train(iter(()))

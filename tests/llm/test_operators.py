@@ -433,7 +433,7 @@ def labelled(spark, n=900, seed=8):
     text, rows, marks = [f"w{i}" for i in range(400)], [], []
     for i in range(n):
         w, toxic, good = r.choices(text, k=r.randint(20, 80)), i % 5 == 0, i % 3 > 0
-        if toxic:
+        if toxic and good:  # the label says so too: the same words do not make some texts toxic and some not
             w[r.randint(0, 9)] = r.choice(["vile", "Vile.", "rotten"])
         rows.append((i, " ".join(w) if good else " ".join(x.upper() + "!!" for x in w[:5]) * 6))
         marks.append((i, int(good), int(toxic and good)))
