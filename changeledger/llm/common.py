@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are separated by these characters and no others.
@@ -59,6 +59,23 @@ def release(spark: SparkSession, frame: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows from 0 in this order (long), without a task that sees them all. Starts a job.
+
+    Rows are range-partitioned and sorted, and written with their place; the number is the place in the
+    partition plus the rows of earlier partitions. What is broadcast is one row per partition. Equal rows
+    are dealt out too if ``order`` ends with something that differs between them.
+    """
+    place, part, shift = (unused(rows, f"{name}_{c}") for c in ("in_part", "part", "shift"))
+    placed = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()))
+    of_part = F.shiftright(place, 33)
+    parts = placed.groupBy(of_part.alias(part)).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col(part), (F.coalesce(earlier, F.lit(0)) - F.col("first")).alias(shift))
+    return (placed.withColumn(part, of_part).join(F.broadcast(parts), part)
+            .withColumn(name, F.col(place) + F.col(shift)).drop(place, part, shift))
+
+
 def unused(frame: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in frame.columns}
