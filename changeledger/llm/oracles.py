@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: 1, 2, 5 and 6."""
+"""DuckDB SQL for the queries that SQL can express: 1, 2, 5, 6 and 11."""
 
 from __future__ import annotations
 
@@ -84,4 +84,20 @@ SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN target - e
 FROM rows JOIN shares ON rows.source IS NOT DISTINCT FROM shares.source
   JOIN summed ON rows.source IS NOT DISTINCT FROM summed.source AND rows.key = summed.key"""
 
-SQL = {"op1_decontamination": OP1, "op2_sharding": OP2, "op5_line_runs": OP5, "op6_mixing": OP6}
+OP11 = rf"""WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(regexp_extract_all({_LOWER}, {_WORD})) AS word FROM benchmark),
+codes AS (SELECT word, {crc32("hex(encode(word))")} % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN codes USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN codes USING (word) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE)
+    / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+sums AS (SELECT r, sum(gain)::HUGEINT AS gain, count(*) AS n FROM dw JOIN codes USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(floor(gain / n), 0)::BIGINT AS weight,
+    ('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8))::BIGINT AS h FROM d LEFT JOIN sums USING (r)),
+final AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS rank FROM final WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM ranked) THEN rank END AS rank FROM final LEFT JOIN ranked USING (r)"""
+
+SQL = {"op1_decontamination": OP1, "op2_sharding": OP2, "op5_line_runs": OP5, "op6_mixing": OP6, "op11_resampling": OP11}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeledger.llm import bpe, brown, caps, contamination, line_runs, mixing, quality, shards, simhash, toxicity
+from changeledger.llm import bpe, brown, byte_pairs, caps, contamination, conversation, line_runs, mixing, quality, resampling, shards, simhash, toxicity
 from changeledger.llm.common import table
 from changeledger.llm.oracles import SQL  # noqa: F401
 
@@ -79,5 +81,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resampling.importance(docs, table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, seed=2024, percent=10, least_words=20, keep=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation.Repair(conversation.damaged(turns)).report().withColumnRenamed("conv_id", "of_id")
+    every, none = turns.select("conv_id").distinct(), hashlib.sha256().hexdigest()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("of_id")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(none)).alias("repaired_sha256"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    numbers = table(spark, sf_dir, "documents").select("doc_id", byte_pairs.encode(F.col("text"), path, public_tokenizers.PATTERN).alias("ids"))
+    return numbers.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                          F.sha2(byte_pairs.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_sharding, op3_class_model, op4_cap_filters, op5_line_runs, op6_mixing, op7_simhash, op8_token_counts, op9_quality, op10_toxicity)}
+    op1_decontamination, op2_sharding, op3_class_model, op4_cap_filters, op5_line_runs, op6_mixing, op7_simhash, op8_token_counts, op9_quality, op10_toxicity,
+    op11_resampling, op12_conversations, op13_byte_pairs)}

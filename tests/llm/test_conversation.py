@@ -1,0 +1,174 @@
+"""Conversation repair against a search over all edits, and its tables against plain steps."""
+
+import hashlib
+import random
+import re
+import sys
+import zlib
+from functools import lru_cache
+
+import pytest
+
+from changeledger.llm import conversation
+from changeledger.llm.conversation import Repair, Tables, damaged
+from changeledger.llm.queries import op12_conversations
+
+sys.setrecursionlimit(10_000)
+
+SCHEMA = "conv_id long, turn long, role string, text string, place string, conversation string, audit string"
+
+
+def plain_cheapest(turns):
+    """(cost, audit) by a search that compares whole edit strings: (role initial, truncated, must go) per turn."""
+    allowed = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    @lru_cache(maxsize=None)
+    def best(i, last, inserts):
+        found = [(0, "")] if i == len(turns) and last in ("", "a") else []
+        if inserts < 2:
+            to = "a" if last == "u" else "u"
+            cost, rest = best(i, to, inserts + 1)
+            found.append((cost + 2, "I" + rest))
+        if i < len(turns):
+            initial, truncated, gone = turns[i]
+            cost, rest = best(i + 1, last, 0)
+            found.append((cost + 3, "D" + rest))
+            if not gone:
+                if initial and initial in allowed[last]:
+                    cost, rest = best(i + 1, initial, 0)
+                    found.append((cost + truncated, "K" + rest))
+                for to in set(allowed[last]) & {"u", "a"}:
+                    cost, rest = best(i + 1, to, 0)
+                    found.append((cost + 2 + truncated, "R" + rest))
+        return min(found, default=(10 ** 9, "Z"))
+
+    return best(0, "", 0)
+
+
+def plain_repaired(turns, audit):
+    lines, last, left = [], "", iter(turns)
+    for edit in audit:
+        to = "a" if last == "u" else "u"
+        if edit == "I":
+            lines.append(("user:", "assistant:")[to == "a"])
+            last = to
+            continue
+        role, text = next(left)
+        if edit == "K":
+            lines.append(f"{role}:{text}")
+            last = role[0]
+        elif edit == "R":
+            lines.append(f"{'assistant' if to == 'a' else 'user'}:{text}")
+            last = to
+    return "\n".join(lines)
+
+
+def plain_damaged(rows):
+    space = lambda v: " " if v is None else v
+    out = []
+    for conv, turn, role, text in rows:
+        fate, role, text = zlib.crc32(f"{space(conv)}:{space(turn)}".encode()) % 20, space(role), space(text)
+        if fate == 0:
+            continue
+        text = "" if fate == 1 else re.sub("[.!?]", "", text) if fate == 2 else text
+        role = "user" if fate == 4 else role
+        out += [(conv, turn, role, text)] * (2 if fate == 3 else 1)
+    return out
+
+
+def plain_report(rows):
+    """The contract's columns for rows after damage, per conversation."""
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    per = {}
+    for conv, turn, role, text in rows:
+        per.setdefault(conv, []).append((turn, role, text))
+    report = {}
+    for conv, turns in per.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, md5(md5(t[1]) + md5(t[2]))))
+        counts, seen, kinds = dict(blank=0, duplicate=0, truncated=0), set(), []
+        for _, role, text in turns:
+            signs = re.findall("[^\x20\x09-\x0d]", text)
+            fault = "blank" if not signs else "duplicate" if (role, text) in seen else "truncated" if signs[-1] not in ".!?" else None
+            seen.add((role, text))
+            if fault:
+                counts[fault] += 1
+            kinds.append((role[:1], int(fault == "truncated"), fault in ("blank", "duplicate")))
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        numbers = [t for t, _, _ in turns if t is not None]
+        gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+        cost, audit = plain_cheapest(tuple(kinds))
+        repaired = plain_repaired([t[1:] for t in turns], audit)
+        report[conv] = (gaps, *counts.values(), illegal, cost, audit, hashlib.sha256(repaired.encode()).hexdigest())
+    return report
+
+
+COLUMNS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def table_of(seed):
+    r = random.Random(seed)
+    texts = ["Good.", "Really?", "no end", " \t", "", None, "x!  \n", "A\nB.", "é…", "one. two"]
+    rows = []
+    for conv in [*range(40), None]:
+        for turn in range(r.randint(1, 12)):
+            number = r.choice([turn, turn, turn, turn * 3, None])
+            role = r.choice(["system", "user", "assistant", "user", "assistant", "tool", "", None, "Assistant"])
+            rows.append((conv, number, role, r.choice(texts) if r.random() < 0.4 else f"turn {turn}."))
+    return rows + [rows[3]] * 3 + [(77, 0, "user", "Hi."), (77, 1, "assistant", "x" * 300_000 + ".")]
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    return lambda rows: spark.createDataFrame([(*r, "p", "c", "a") for r in rows], SCHEMA).repartition(3)
+
+
+def got(report):
+    return {r.conv_id: tuple(r[c] for c in COLUMNS) for r in report.collect()}
+
+
+def test_tables_equal_the_search():
+    tables, r = Tables(), random.Random(5)
+    for _ in range(1_500):
+        turns = tuple((r.choice("suax"), r.randint(0, 1), r.random() < 0.15) for _ in range(r.randint(0, 13)))
+        symbols = [conversation.GONE if gone else 2 * "suax".index(role) + truncated for role, truncated, gone in turns]
+        assert tables.repair(symbols) == plain_cheapest(turns), turns
+
+
+def test_few_vectors_occur():
+    assert len(Tables().vectors) < 100
+
+
+@pytest.mark.parametrize("chunk", [4_096, 3])
+def test_report_and_repaired_turns(spark, frame, chunk, monkeypatch):
+    monkeypatch.setattr(conversation, "CHUNK", chunk)
+    rows = table_of(chunk)
+    want = plain_report([(c, t, " " if role is None else role, " " if x is None else x) for c, t, role, x in rows])
+    repair = Repair(frame(rows))
+    assert got(repair.report()) == want
+    texts = {}
+    for row in repair.turns_repaired().orderBy("position").collect():
+        texts.setdefault(row.conv_id, []).append(f"{row.role}:{row.text}")
+    for conv, facts in want.items():
+        assert hashlib.sha256("\n".join(texts.get(conv, [])).encode()).hexdigest() == facts[-1]
+
+
+def test_one_long_conversation(spark, frame, monkeypatch):
+    monkeypatch.setattr(conversation, "CHUNK", 64)
+    r = random.Random(9)
+    rows = [(1, t, r.choice(["user", "assistant"]), r.choice(["Yes.", f"turn {t}.", f"turn {t}"])) for t in range(400)] + [(2, 0, "user", "Hi.")]
+    assert got(Repair(frame(rows)).report()) == plain_report(rows)
+
+
+def test_empty_table(spark, frame):
+    repair = Repair(frame([]))
+    assert repair.report().collect() == [] and repair.turns_repaired().collect() == []
+
+
+def test_query(spark, frame, tmp_path):
+    rows = table_of(3)
+    frame(rows).drop("audit").write.parquet(str(tmp_path / "conversations.parquet"))
+    result = op12_conversations(spark, str(tmp_path))
+    assert dict(result.dtypes) == {"conv_id": "bigint", **dict.fromkeys(COLUMNS[:6], "bigint"), "audit": "string", "repaired_sha256": "string"}
+    none = (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
+    want = plain_report(plain_damaged(rows))
+    assert got(result) == {conv: want.get(conv, none) for conv in {r[0] for r in rows}}
