@@ -100,9 +100,10 @@ def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    numbers = table(spark, sf_dir, "documents").select("doc_id", byte_pairs.encode(F.col("text"), path, public_tokenizers.PATTERN).alias("ids"))
-    return numbers.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-                          F.sha2(byte_pairs.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    there_and_back = byte_pairs.round_trip(F.col("text"), path, public_tokenizers.PATTERN)
+    coded = table(spark, sf_dir, "documents").select("doc_id", there_and_back.alias("coded")).select("doc_id", "coded.*")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
