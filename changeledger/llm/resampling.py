@@ -142,11 +142,11 @@ def gains(docs: DataFrame, target: DataFrame, text: str, longest: int, buckets:
     sides = sides.union(bucket_counts(target, text, longest, buckets).select("bucket", F.lit(0).cast("long"), "n"))
     every = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"))
     one = settle(every.union(sides).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")))
-    total = one.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
+    total = one.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
+    all_s, all_t = (F.lit(float(total[c] + buckets)) for c in ("s", "t"))
     double = lambda c: F.col(c).cast("double")
-    ratio = ((double("t") + 1) * (double("all_s") + buckets)) / ((double("s") + 1) * (double("all_t") + buckets))
-    # the totals are one row
-    rows = one.crossJoin(F.broadcast(total)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")).collect()
+    ratio = ((double("t") + 1) * all_s) / ((double("s") + 1) * all_t)
+    rows = one.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")).collect()
     found = [0] * buckets
     for row in rows:
         found[row["bucket"]] = row["gain"]
