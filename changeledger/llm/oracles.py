@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: 1, 2, 5, 6 and 11."""
+"""DuckDB SQL for the queries that SQL can express: 1, 2, 4, 5, 6 and 11."""
 
 from __future__ import annotations
 
@@ -45,6 +45,18 @@ placed AS (SELECT d.*, coalesce(len(list_filter(borders, lambda c: c <= upto - s
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY part, key, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM placed"""
 
+#: Brute force: all pairs, then the smallest row that links lead to.
+OP4 = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(vec_id) AS least FROM reach JOIN v ON v.r = reach.y GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id,
+  vec_id <= coalesce(least, vec_id) AS kept FROM v LEFT JOIN least ON least.x = v.r LEFT JOIN n ON n.x = v.r"""
+
 _BLANK = r"[^\x20\x09-\x0D]+"
 
 OP5 = rf"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
@@ -100,4 +112,4 @@ final AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296
 ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS rank FROM final WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM ranked) THEN rank END AS rank FROM final LEFT JOIN ranked USING (r)"""
 
-SQL = {"op1_decontamination": OP1, "op2_sharding": OP2, "op5_line_runs": OP5, "op6_mixing": OP6, "op11_resampling": OP11}
+SQL = {"op1_decontamination": OP1, "op2_sharding": OP2, "op4_cap_filters": OP4, "op5_line_runs": OP5, "op6_mixing": OP6, "op11_resampling": OP11}
