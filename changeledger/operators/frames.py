@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changeledger.functions.arrays import add_once
 from changeledger.functions.versions import version_key
-from changeledger.schema import BAD_SETTING, UNDO_SQL
+from changeledger.schema import BAD_SETTING, UNDO_SQL, LedgerError
 
 
 def item_key() -> Column:
@@ -26,10 +26,24 @@ def _with_target(df: DataFrame) -> DataFrame:
     return df.filter(F.col("target").isNotNull())
 
 
+def is_snapshot(ledger: DataFrame) -> bool:
+    """Whether this is what ``ledger_snapshot`` gives, one row per item, and not a ledger."""
+    return "applied" in ledger.columns
+
+
+def needs_records(ledger: DataFrame, what: str) -> DataFrame:
+    """The ledger; an error for a snapshot, which does not hold every record."""
+    if is_snapshot(ledger):
+        raise LedgerError(BAD_SETTING, f"{what} needs the ledger itself, not a snapshot of it")
+    return ledger
+
+
 def without_target(*frames: DataFrame) -> DataFrame:
-    """A 4002 row for every row of a catalog or ledger that has no target."""
+    """A 4002 row for every row of a catalog or ledger that has no target.  A snapshot has none."""
     found = None
     for df in frames:
+        if is_snapshot(df):
+            continue
         rows = df.filter(F.col("target").isNull()).select(
             F.col("target").cast("string").alias("target"), F.lit(BAD_SETTING).alias("code"),
             F.coalesce("script", F.lit("")).alias("script"), F.lit("a row without a target").alias("detail"))
@@ -37,6 +51,28 @@ def without_target(*frames: DataFrame) -> DataFrame:
     return found
 
 
+def settings(targets: DataFrame, *names: str) -> DataFrame:
+    """One row per target with its settings of these names, as far as ``targets`` has them.
+
+    Of several rows for a target the first counts in the order of their values as text, all of one row
+    together; ``contradictions`` reports those that differ.
+    """
+    known = [n for n in names if n in targets.columns]
+    if not known:
+        return targets.filter(F.col("target").isNotNull()).select("target").distinct()
+    row = F.struct(*known)
+    return (targets.filter(F.col("target").isNotNull()).groupBy("target")
+            .agg(F.min_by(row, F.to_json(row)).alias("row")).select("target", "row.*"))
+
+
+def contradictions(targets: DataFrame) -> DataFrame:
+    """A 4002 row for every target whose rows of settings differ."""
+    values = F.to_json(F.struct(*[c for c in targets.columns if c != "target"], F.lit(0).alias("any")))
+    found = targets.groupBy("target").agg(F.min(values).alias("first"), F.max(values).alias("last")).filter("first <> last")
+    return found.select("target", F.lit(BAD_SETTING).alias("code"), F.lit("").alias("script"),
+                        F.lit("settings that contradict each other").alias("detail"))
+
+
 def _with_missing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return add_once(df, {n: c for n, c in columns.items() if n not in df.columns})
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changeledger.functions.versions import version_key_of
 from changeledger.operators.distribute import lookup, number_rows
-from changeledger.operators.frames import executable, prepare_catalog, prepare_ledger
+from changeledger.operators.frames import (
+    contradictions, executable, is_snapshot, needs_records, prepare_catalog, prepare_ledger, settings)
 from changeledger.schema import (
     BAD_SETTING, BASELINE, BASELINE_DESCRIPTION, BASELINE_NOT_EMPTY, BASELINE_SCRIPT,
     BASELINE_VERSION, EXECUTION_FAILED, LEDGER_COLUMNS, MISSING_UNDO, PROBLEM_COLUMNS, SQL, UNDO_SQL)
@@ -23,6 +24,8 @@ def _moment(installed_on: datetime | Column | None) -> Column:
 
 
 def highest_rank(ledger: DataFrame) -> DataFrame:
+    if is_snapshot(ledger):
+        return ledger.groupBy("target").agg(F.max("highest_rank").alias("highest_rank"))
     return ledger.groupBy("target").agg(F.max("installed_rank").alias("highest_rank"))
 
 
@@ -53,11 +56,18 @@ def baseline(targets: DataFrame, ledger: DataFrame, version: str = BASELINE_VERS
 
 def _numbered(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The plan with outcomes (NULL where there is none) and the ``place`` of each item."""
-    known = outcomes.select("target", "script", *[c for c in outcomes.columns if c not in ("target", "script")])
-    return number_rows(plan.join(known, ["target", "script"], "left"), ["target"],
+    return number_rows(plan.join(_one_each(outcomes), ["target", "script"], "left"), ["target"],
                        [F.col("run_order")], "place")
 
 
+def _one_each(outcomes: DataFrame) -> DataFrame:
+    """One outcome per script: of several a failed one, then the smallest in the order of the other columns.
+    A row without success is no outcome."""
+    others = [c for c in outcomes.columns if c not in ("target", "script", "success")]
+    return (outcomes.filter(F.col("success").isNotNull()).groupBy("target", "script")
+            .agg(F.min(F.struct("success", *others)).alias("one")).select("target", "script", "one.*"))
+
+
 def _stops(ran: DataFrame) -> DataFrame:
     """Per target: the place of the first item that failed or has no outcome, and the number of items."""
     done = F.coalesce(F.col("success"), F.lit(False))
@@ -80,14 +90,21 @@ def executed(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def record_problems(plan: DataFrame, outcomes: DataFrame, targets: DataFrame) -> DataFrame:
     """What ``record_outcomes`` cannot take as it is: planned items without an
-    outcome (2010, the run of their target stops before them) and planned targets
-    without settings (4002, taken as not transactional)."""
+    outcome (2010, the run of their target stops before them) or with several (2010,
+    a failed one counts), planned targets without settings (4002, taken as not
+    transactional) or with some that contradict each other (4002)."""
     asked = plan.select("target", "script")
-    missing = asked.join(outcomes.select("target", "script"), ["target", "script"], "left_anti").select(
-        "target", F.lit(EXECUTION_FAILED).alias("code"), "script", F.lit("no outcome").alias("detail"))
-    unset = asked.select("target").distinct().join(targets.select("target"), "target", "left_anti").select(
+    counts = (outcomes.filter(F.col("success").isNotNull()).groupBy("target", "script")
+              .agg(F.count("*").alias("outcomes")))
+    odd = asked.join(counts, ["target", "script"], "left").filter("outcomes IS NULL OR outcomes > 1").select(
+        "target", F.lit(EXECUTION_FAILED).alias("code"), "script",
+        F.when(F.col("outcomes").isNull(), "no outcome")
+        .otherwise(F.concat(F.col("outcomes").cast("string"), F.lit(" outcomes"))).alias("detail"))
+    planned = asked.select("target").distinct()
+    unset = planned.join(targets.select("target"), "target", "left_anti").select(
         "target", F.lit(BAD_SETTING).alias("code"), F.lit("").alias("script"), F.lit("no settings of the target").alias("detail"))
-    return missing.unionByName(unset)
+    differ = contradictions(targets).join(planned, "target", "left_semi")
+    return odd.unionByName(unset).unionByName(differ)
 
 
 def record_outcomes(plan: DataFrame, outcomes: DataFrame, targets: DataFrame, ledger: DataFrame,
@@ -98,11 +115,15 @@ def record_outcomes(plan: DataFrame, outcomes: DataFrame, targets: DataFrame, le
     transactional; a failed item of a transactional target was rolled back and
     leaves no record.  As it is the last of its target, no rank is left free.
     A target without a row there is taken as not transactional; what has no outcome
-    did not run (``record_problems`` reports both).  Everything about a target is
-    one row, which meets its items in one join.  Starts a job.
+    did not run; of several outcomes a failed one counts (``record_problems`` reports
+    these cases).  Everything about a target is one row, which meets its items in
+    one join.  Starts a job.
     """
     ran = _numbered(plan, outcomes)
-    facts = (_stops(ran).join(targets.select("target", "transactional"), "target", "left")
+    known = settings(targets, "transactional")
+    if "transactional" not in known.columns:
+        known = known.withColumn("transactional", F.lit(False))
+    facts = (_stops(ran).join(known, "target", "left")
              .join(highest_rank(ledger), "target", "left"))
     rows = lookup(ran, facts, ["target"], ["script"], weight="items").filter(_ran())
     rows = rows.filter(F.col("success") | ~F.coalesce("transactional", F.lit(False)))
@@ -118,7 +139,7 @@ def record_outcomes(plan: DataFrame, outcomes: DataFrame, targets: DataFrame, le
 
 def version_reached(ledger: DataFrame, plan: DataFrame) -> DataFrame:
     """(target, version): highest version over successful records and planned items."""
-    ledger = prepare_ledger(ledger)
+    ledger = prepare_ledger(needs_records(ledger, "the version reached"))
     done = ledger.filter(F.col("success") & F.col("vsort").isNotNull()
                          & (F.col("type") != UNDO_SQL))
     both = done.select("target", "version", "vsort", F.lit(1).alias("recorded"),
@@ -133,10 +154,13 @@ def version_reached(ledger: DataFrame, plan: DataFrame) -> DataFrame:
 
 def undo_targets(ledger: DataFrame) -> DataFrame:
     """(target, version, vsort): the version an undo would take back."""
-    rows = prepare_ledger(ledger).filter(
-        F.col("vsort").isNotNull() & F.col("success") & (F.col("type") != BASELINE))
-    latest = rows.groupBy("target", "vsort").agg(
-        F.max_by(F.struct("type", "version"), "installed_rank").alias("last"))
+    if is_snapshot(ledger):
+        latest = ledger.filter("done.vsort IS NOT NULL").select("target", "done.vsort", F.col("done").alias("last"))
+    else:
+        rows = prepare_ledger(ledger).filter(
+            F.col("vsort").isNotNull() & F.col("success") & (F.col("type") != BASELINE))
+        latest = rows.groupBy("target", "vsort").agg(
+            F.max_by(F.struct("type", "version"), "installed_rank").alias("last"))
     live = latest.filter(F.col("last.type") != UNDO_SQL)
     return live.groupBy("target").agg(
         F.max(F.struct("vsort", "last.version")).alias("top")).select("target", "top.version", "top.vsort")
@@ -165,10 +189,11 @@ def undo_plan(targets: DataFrame, catalog: DataFrame, ledger: DataFrame
 
 # -------------------------------------------------------------------- repair
 
-def _checksum_updates(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
+def checksum_updates(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     """(target, script, vsort, new_checksum, records) for recorded scripts whose
     latest successful record differs from the catalog; ``records`` is how many
     records the version has."""
+    ledger = prepare_ledger(ledger)
     items = executable(prepare_catalog(catalog)).filter(F.col("vsort").isNotNull())
     latest = ledger.filter(F.col("success") & F.col("vsort").isNotNull()
                            & ~F.col("type").isin(UNDO_SQL, BASELINE)) \
@@ -181,29 +206,41 @@ def _checksum_updates(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
         "target", F.col("last.script").alias("script"), "vsort", "new_checksum", "records")
 
 
+def repaired(ledger: DataFrame, updates: DataFrame) -> DataFrame:
+    """The ledger without failed records and with updated checksums; rows without a target as they are."""
+    columns = [c for c in LEDGER_COLUMNS if c in ledger.columns]
+    more = [c for c in ledger.columns if c not in columns]
+    per_script = updates.groupBy("target", "script").agg(
+        F.max_by("new_checksum", "vsort").alias("new_checksum"), F.sum("records").alias("records"))
+    rows = ledger.select(*columns, *more).filter(F.col("target").isNotNull() & F.col("success"))
+    kept = lookup(rows, per_script.withColumn("aligned", F.lit(True)), ["target", "script"], ["installed_rank"], weight="records")
+    checksum = F.when(F.col("aligned"), F.col("new_checksum")).otherwise(F.col("checksum"))
+    kept = kept.withColumn("checksum", checksum).select(*columns, *more)
+    return kept.unionByName(ledger.select(*columns, *more).filter(F.col("target").isNull()))
+
+
+def repair_report(ledger: DataFrame, updates: DataFrame) -> DataFrame:
+    """target, action (removed, aligned, or left: a row without a target), script."""
+    action = F.when(F.col("target").isNull(), "left").otherwise("removed")
+    return ledger.filter(F.col("target").isNull() | ~F.col("success")).select(
+        "target", action.alias("action"), "script").unionByName(
+        updates.select("target", F.lit("aligned").alias("action"), "script"))
+
+
 def repair(catalog: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new ledger, report of target, action, script).
 
     Failed records are removed.  A version whose checksum differs from the
-    catalog gets the catalog's, on all successful records of its script.  The
-    new ledger is a snapshot: write it to a new place.
+    catalog gets the catalog's, on all successful records of its script.  All
+    other values stay as they are, also those of rows without a target, which
+    the report names as left.  The new ledger is a snapshot: write it to a new
+    place, or use ``repair_in_place`` on a ledger stored by parts.
     """
-    keyed = prepare_ledger(ledger)
-    updates = _checksum_updates(catalog, keyed)
-    per_script = updates.groupBy("target", "script").agg(
-        F.max_by("new_checksum", "vsort").alias("new_checksum"), F.sum("records").alias("records"))
-    kept = lookup(keyed.filter("success"), per_script.withColumn("aligned", F.lit(True)),
-                  ["target", "script"], ["installed_rank"], weight="records")
-    checksum = F.when(F.col("aligned"), F.col("new_checksum")).otherwise(F.col("checksum"))
-    kept = kept.withColumn("checksum", checksum).select(
-        *[c for c in LEDGER_COLUMNS if c in ledger.columns])
-    report = ledger.filter(~F.col("success")).select(
-        "target", F.lit("removed").alias("action"), "script").unionByName(
-        updates.select("target", F.lit("aligned").alias("action"), "script"))
-    return kept, report
+    updates = checksum_updates(catalog, needs_records(ledger, "repair"))
+    return repaired(ledger, updates), repair_report(ledger, updates)
 
 
 def repair_counts(report: DataFrame) -> DataFrame:
-    return report.groupBy("target").agg(
+    return report.filter(F.col("target").isNotNull()).groupBy("target").agg(
         F.count_if(F.col("action") == "removed").alias("removed"),
         F.count_if(F.col("action") == "aligned").alias("aligned"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from changeledger.functions.selection import VersionSelection
 from changeledger.operators.distribute import fixed, lookup, number_rows
-from changeledger.operators.frames import executable, prepare_catalog, prepare_ledger, run_order
+from changeledger.operators.frames import executable, is_snapshot, prepare_catalog, prepare_ledger, run_order
 from changeledger.schema import (
     BASELINE, FAILED_NEEDS_REPAIR, INVALID_VERSION, OUT_OF_ORDER_CODE, PROBLEM_COLUMNS, UNDO_SQL)
 
@@ -15,16 +15,31 @@ EVERYTHING = VersionSelection()
 
 def failed_gate(ledger: DataFrame) -> DataFrame:
     """(target, script) of the first failed record of each target that has one."""
-    failed = ledger.filter(~F.col("success"))
+    if is_snapshot(ledger):
+        return ledger.filter("failed IS NOT NULL").groupBy("target").agg(F.min("failed")["script"].alias("script"))
+    failed = ledger.filter(F.col("target").isNotNull() & ~F.col("success"))
     return failed.groupBy("target").agg(F.min_by("script", "installed_rank").alias("script"))
 
 
-def _target_facts(items: DataFrame, ledger: DataFrame, latest: DataFrame) -> DataFrame:
-    """Per target: failed gate, baseline floor, highest applied version, number of items."""
+def _recorded(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(latest, special): the latest record of each item but for baselines (target, item_key, last), and
+    what holds targets back (target, failed, floor)."""
+    if is_snapshot(ledger):
+        return (ledger.filter("last IS NOT NULL").select("target", "item_key", "last"),
+                ledger.filter("failed IS NOT NULL OR floor IS NOT NULL").select(
+                    "target", F.col("failed").isNotNull().alias("failed"), "floor"))
+    ledger = prepare_ledger(ledger)
+    latest = ledger.filter(F.col("type") != BASELINE).groupBy("target", "item_key").agg(
+        F.max_by(F.struct("type", "vsort", "checksum"), "installed_rank").alias("last"))
     special = ledger.filter((F.col("type") == BASELINE) | ~F.col("success"))
+    return latest, special.select("target", (~F.col("success")).alias("failed"),
+                                  F.when(F.col("type") == BASELINE, F.col("vsort")).alias("floor"))
+
+
+def _target_facts(items: DataFrame, special: DataFrame, latest: DataFrame) -> DataFrame:
+    """Per target: failed gate, baseline floor, highest applied version, number of items."""
     parts = [
-        special.select("target", (~F.col("success")).alias("failed"),
-                       F.when(F.col("type") == BASELINE, F.col("vsort")).alias("floor")),
+        special,
         latest.select("target", F.when(F.col("last.type") != UNDO_SQL, F.col("last.vsort"))
                       .alias("highest")),
         items.select("target", F.lit(1).alias("item")),
@@ -46,12 +61,10 @@ def verdicts(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection
     What is known about targets is computed first, in a job of its own, and meets
     the items in one join.
     """
-    ledger = prepare_ledger(ledger)
     items = executable(prepare_catalog(catalog)).filter(selection.predicate())
-    latest = ledger.filter(F.col("type") != BASELINE).groupBy("target", "item_key").agg(
-        F.max_by(F.struct("type", "vsort", "checksum"), "installed_rank").alias("last"))
+    latest, special = _recorded(ledger)
     rows = lookup(items.join(latest, ["target", "item_key"], "left"),
-                  fixed(_target_facts(items, ledger, latest)), on=["target"], spread_by=["item_key"],
+                  fixed(_target_facts(items, special, latest)), on=["target"], spread_by=["item_key"],
                   weight="items")
 
     versioned = F.col("vsort").isNotNull()

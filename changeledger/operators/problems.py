@@ -12,9 +12,6 @@ SAMPLE = 20
 
 # Problem codes with their short texts.
 CODES = [
-    ("1001", "Connection failed", "连接失败"),
-    ("1002", "Unrecognized database type", "无法识别数据库类型"),
-    ("1003", "JDBC driver not found", "JDBC 驱动未找到"),
     ("2001", "Invalid version number", "非法版本号"),
     ("2002", "Duplicate version", "重复版本"),
     ("2003", "Migration validation mismatch", "迁移校验不一致"),
@@ -28,13 +25,10 @@ CODES = [
     ("3001", "Lock acquisition timed out", "获取迁移锁超时"),
     ("4001", "Unknown config key", "未知配置键"),
     ("4002", "Missing required config", "缺少必填配置项"),
-    ("4003", "Clean disabled", "clean 被禁用"),
-    ("4004", "Init target already exists", "目标文件已存在，拒绝覆盖"),
     ("4005", "Migration location not found", "迁移位置不存在"),
 ]
 
-# What leads this library to a code, and what its user can do; codes that no
-# operator here gives have no advice.
+# What leads this library to a code, and what its user can do.
 ADVICE = {
     "2001": ("No version could be read from a name, it is outside its folder's family, or a "
              "selection found nothing.", "Correct the name, move the file or change the selection."),
@@ -52,11 +46,12 @@ ADVICE = {
     "2009": ("A text uses a name without a value.", "Add the name to the target's placeholders."),
     "2010": ("A script stopped, has no text, or its outcome is not known.",
              "Look at the statement or script that the row names, then plan again."),
+    "3001": ("Another run appended records to a target after this run was planned.",
+             "Plan again from the ledger as it is now."),
     "4001": ("A setting has a name that is not known.", "Take the nearest known name."),
     "4002": ("A setting or a column that a row needs is missing or cannot be read.", "Supply it."),
     "4005": ("A folder of scripts is not there.", "Correct its location."),
 }
-NO_ADVICE = (None, None)
 
 
 def _found() -> Column:
@@ -97,7 +92,7 @@ def severity(code: Column) -> Column:
 
 def with_explanations(problems: DataFrame, from_validation: bool = False) -> DataFrame:
     """Add texts and severity; problems of a validation have severity 2."""
-    rows = [(*code, *ADVICE.get(code[0], NO_ADVICE)) for code in CODES]
+    rows = [(*code, *ADVICE[code[0]]) for code in CODES]
     codes = problems.sparkSession.createDataFrame(
         rows, "code string, summary string, summary_zh string, cause string, action string")
     level = F.lit(2) if from_validation else severity(F.col("code"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changeledger.operators.distribute import lookup
-from changeledger.operators.frames import executable, prepare_catalog, prepare_ledger
+from changeledger.operators.frames import executable, is_snapshot, prepare_catalog, prepare_ledger
 from changeledger.schema import BASELINE, UNDO_SQL
 
 # Item states.
@@ -22,8 +22,10 @@ def latest_per_item(ledger: DataFrame) -> DataFrame:
     """(target, item_key, applied): the record with the highest rank of each item.
 
     The partial aggregation keeps one record per item before the shuffle, so
-    re-runs of one item do not pile up.
+    re-runs of one item do not pile up.  A snapshot of a ledger has them already.
     """
+    if is_snapshot(ledger):
+        return ledger.select("target", "item_key", "applied")
     ledger = prepare_ledger(ledger)
     fields = [c for c in APPLIED_FIELDS if c in ledger.columns]
     return ledger.groupBy("target", "item_key").agg(

@@ -10,6 +10,7 @@ from changeledger.functions.placeholders import (
     BUILTIN_NAMESPACE, PREFIX, SUFFIX, substitute, undefined_placeholders)
 from changeledger.functions.splitter import Dialect, POSTGRESQL, split_statements
 from changeledger.operators.distribute import lookup
+from changeledger.operators.frames import settings
 from changeledger.schema import EXECUTION_FAILED, PROBLEM_COLUMNS, UNDEFINED_PLACEHOLDER
 
 
@@ -18,7 +19,7 @@ def _with_values(scripts: DataFrame, targets: DataFrame | None) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     if targets is not None:
         names = [c for c in ("placeholders", "builtins") if c in targets.columns]
-        scripts = lookup(scripts, targets.select("target", *names), ["target"], ["script"])
+        scripts = lookup(scripts, settings(targets, *names), ["target"], ["script"])
     for name in ("placeholders", "builtins"):
         known = F.col(name) if name in scripts.columns else empty
         scripts = scripts.withColumn(name, F.coalesce(known, empty))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from changeledger.functions.selection import VersionSelection
 from changeledger.functions.splitter import Dialect, POSTGRESQL
 from changeledger.operators import history, pending as pending_ops, problems as problem_ops
-from changeledger.operators.frames import without_target
+from changeledger.operators.frames import contradictions, without_target
 from changeledger.operators.report import info_report
 from changeledger.operators.state import state_view
 from changeledger.operators.statements import (
@@ -57,7 +57,9 @@ class Reconciler:
         return info_report(self.state(), ordered)
 
     def validate(self) -> DataFrame:
-        return problem_ops.validation_problems(self.state())
+        """Problems of items, and the rows without a target, which no other command uses."""
+        return problem_ops.validation_problems(self.state()).unionByName(
+            without_target(self.catalog, self.ledger))
 
     def plan(self) -> DataFrame:
         """Pending items.  Targets that fail validation (unless that is off) or whose
@@ -85,10 +87,13 @@ class Reconciler:
     def plan_problems(self) -> DataFrame:
         found = pending_ops.pending_problems(self.catalog, self.ledger, self.selection,
                                              self.out_of_order, self._targets())
-        found = found.unionByName(without_target(self.catalog, self.ledger))
+        if self.targets is not None:
+            found = found.unionByName(contradictions(self.targets))
         if self.catalog_problems is not None:
             found = found.unionByName(self.catalog_problems.select(*found.columns))
-        return found.unionByName(self.validate()).distinct() if self.validate_first else found
+        if self.validate_first:
+            return found.unionByName(self.validate()).distinct()
+        return found.unionByName(without_target(self.catalog, self.ledger))
 
     def plan_warnings(self) -> DataFrame:
         return pending_ops.range_end_warning(self.catalog, self.selection,

@@ -47,6 +47,7 @@ BASELINE_NOT_EMPTY = "2007"
 MISSING_UNDO = "2008"
 UNDEFINED_PLACEHOLDER = "2009"
 EXECUTION_FAILED = "2010"
+CONFLICT = "3001"
 BAD_SETTING = "4002"
 LOCATION_NOT_FOUND = "4005"
 

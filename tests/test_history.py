@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from changeledger.functions.splitter import MYSQL
 from changeledger.functions.versions import version_key_of
+from changeledger.operators.frames import contradictions
+from changeledger.operators.statements import resolve_text
 from changeledger.operators.history import (
     baseline, record_outcomes, record_problems, repair, repair_counts, undo_plan, version_reached)
 from changeledger.operators.pending import pending, with_progress
@@ -160,3 +162,59 @@ def test_dry_run(spark, catalog, ledger):
     plain = Reconciler(items, records, where, substitution=False, dialect=MYSQL)
     statements, problems = plain.dry_run(texts)
     assert statements.count() == 5 and problems.count() == 0
+
+
+def test_repeated_outcomes_and_settings(spark, catalog, ledger):
+    """One record per item whatever is repeated; a failed outcome counts, and every case is a problem row."""
+    items, records = catalog(*[(t, "V", v, 1) for t in "ab" for v in "12"]), ledger(("a", 4, "SQL", "0", 1, True))
+    done = outcomes(spark, ("a", "V1__1.sql", True, 4), ("a", "V1__1.sql", False, 9), ("a", "V2__2.sql", True, 4),
+                    ("b", "V1__1.sql", True, 5), ("b", "V1__1.sql", True, 5), ("b", "V2__2.sql", True, 4), ("b", "V2__2.sql", None, 4))
+    settings = targets(spark, a=False, b=True).union(targets(spark, a=False, b=False))
+    plan = pending(items, records)
+    found = record_outcomes(plan, done, settings, records, installed_on=MOMENT)
+    assert record_columns(found) == [
+        ("a", 5, "1", "SQL", "V1__1.sql", False, 9), ("b", 1, "1", "SQL", "V1__1.sql", True, 5), ("b", 2, "2", "SQL", "V2__2.sql", True, 4)]
+    assert rows(record_problems(plan, done, settings), "target", "code", "script", "detail") == [
+        ("a", "2010", "V1__1.sql", "2 outcomes"), ("b", "2010", "V1__1.sql", "2 outcomes"),
+        ("b", "4002", "", "settings that contradict each other")]
+
+
+def test_record_without_settings(spark, catalog, ledger):
+    items, records = catalog(("a", "V", "1", 1), ("a", "V", "2", 1)), ledger(("a", 4, "SQL", "0", 1, True))
+    done = outcomes(spark, ("a", "V1__1.sql", True, 4), ("a", "V2__2.sql", False, 4))
+    run = Reconciler(items, records, validate_first=False)
+    assert record_columns(run.record(done, installed_on=MOMENT)) == [
+        ("a", 5, "1", "SQL", "V1__1.sql", True, 4), ("a", 6, "2", "SQL", "V2__2.sql", False, 4)]
+    assert run.record_problems(done).count() == 0
+
+
+def test_repeated_settings_of_placeholders(spark):
+    texts = spark.createDataFrame([("a", "s", "SQL", "select ${x};")], "target string, script string, kind string, text string")
+    values = spark.createDataFrame([("a", {"x": "2"}), ("a", {"x": "1"}), ("a", {"x": "1"})], "target string, placeholders map<string,string>")
+    assert rows(resolve_text(texts, values), "target", "text") == [("a", "select 1;")]
+    assert rows(contradictions(values), "target", "code") == [("a", "4002")]
+    assert contradictions(values.limit(0)).count() == 0
+
+
+def test_rows_without_a_target(spark, catalog, ledger):
+    """They are left out, or left as they are, and every command that meets them says so."""
+    items = catalog(("a", "V", "1", 2), (None, "V", "1", 1), (None, "U", "1", 1))
+    strict = ledger(("a", 1, "SQL", "1", 1, True), ("n", 2, "SQL", "1", 1, False), ("n", 3, "SQL", "1", 1, True))
+    records = strict.withColumn("target", F.nullif("target", F.lit("n"))).withColumn("version", F.when(F.col("installed_rank") == 1, "1").otherwise(""))
+    run = Reconciler(items, records, validate_first=True)
+    lost = [(None, "4002", s, "a row without a target") for s in ("U1__1.sql", "V1__1.sql", "V1__1.sql", "V1__1.sql")]
+    assert rows(run.validate(), "target", "code", "script", "detail") == sorted(lost + [("a", "2003", "V1__1.sql", "checksum local=2 recorded=1")], key=repr)
+    found = rows(run.plan_problems(), "target", "code", "script", "detail")
+    assert set(lost) <= set(found) and not [r for r in found if r[0] is None and r not in lost]
+    assert rows(run.state(), "target") == [("a",)] and run.plan().count() == 0
+    new, report = run.repair()
+    assert rows(new, "target", "installed_rank", "version", "checksum", "success") == [
+        ("a", 1, "1", 2, True), (None, 2, "", 1, False), (None, 3, "", 1, True)]
+    assert rows(report, "target", "action") == [("a", "aligned"), (None, "left"), (None, "left")]
+    assert rows(repair_counts(report), "target", "removed", "aligned") == [("a", 0, 1)]
+    assert rows(run.undo()[0], "target") == []
+
+
+def test_repair_keeps_blank_versions(catalog, ledger):
+    records = ledger(("a", 1, "SQL", "R:x", 1, True), ("a", 2, "SQL", "2", 1, False)).withColumn("version", F.coalesce("version", F.lit("")))
+    assert rows(repair(catalog(("a", "V", "2", 1)), records)[0], "version", "installed_rank") == [("", 1)]
