@@ -22,6 +22,8 @@ def qualified(spark: SparkSession, location: str) -> str:
     parts: list[str] = []
     for part in inside.split("/"):
         if part == "..":
+            if not parts:
+                raise LedgerError(BAD_SETTING, f"location leads above the root: {location}")
             parts = parts[:-1]
         elif part not in ("", "."):
             parts.append(part)
@@ -33,31 +35,32 @@ def glob_escaped(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def read_scripts(spark: SparkSession, locations: Sequence[str], name_glob: str = "*.sql") -> DataFrame:
-    """location_no, script, content of all files below the locations.
+def _files(spark: SparkSession, root: str, name_glob: str) -> DataFrame:
+    try:
+        return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                .option("pathGlobFilter", name_glob).load(glob_escaped(root)))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise LedgerError(LOCATION_NOT_FOUND, f"no such location: {root}") from error
+        raise
 
-    ``script`` is the path below its location.  A location is ``filesystem:`` +
-    any path Spark can read, relative and with ``..`` as well.  ``name_glob`` is applied before files are opened;
-    ``content`` is only read when it is used.
-    """
+
+def _below(root: str) -> Column:
+    """The path of a file below its location."""
+    # The scan gives qualified paths; the location is in front of the script.
+    path = F.regexp_replace(F.col("path"), "^([a-z0-9]+):///", "$1:/")
+    return F.when(path.startswith(f"{root}/"), F.substring(path, len(root) + 2, 2 ** 31 - 1)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{LOCATION_NOT_FOUND}: not below {root}: "), path)))
+
+
+def _of_locations(spark: SparkSession, locations: Sequence[str], name_glob: str, *columns: str) -> DataFrame:
     frames = []
     for number, location in enumerate(locations):
         if not location.startswith(FILESYSTEM_PREFIX):
             raise LedgerError(BAD_SETTING, f"location must start with {FILESYSTEM_PREFIX}: {location}")
         root = qualified(spark, location.removeprefix(FILESYSTEM_PREFIX))
-        try:
-            files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                     .option("pathGlobFilter", name_glob).load(glob_escaped(root)))
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                raise LedgerError(LOCATION_NOT_FOUND, f"no such location: {root}") from error
-            raise
-        # The scan gives qualified paths; the location is in front of the script.
-        path = F.regexp_replace(F.col("path"), "^([a-z0-9]+):///", "$1:/")
-        script = F.when(path.startswith(f"{root}/"), F.substring(path, len(root) + 2, 2 ** 31 - 1)).otherwise(
-            F.raise_error(F.concat(F.lit(f"{LOCATION_NOT_FOUND}: not below {root}: "), path)))
-        frames.append(files.filter(F.col("path").endswith(".sql")).select(
-            F.lit(number).alias("location_no"), script.alias("script"), "content"))
+        frames.append(_files(spark, root, name_glob).filter(F.col("path").endswith(".sql")).select(
+            F.lit(number).alias("location_no"), _below(root).alias("script"), *columns))
     if not frames:
         raise LedgerError(BAD_SETTING, "no location given")
     result = frames[0]
@@ -66,6 +69,41 @@ def read_scripts(spark: SparkSession, locations: Sequence[str], name_glob: str =
     return result
 
 
+def read_scripts(spark: SparkSession, locations: Sequence[str], name_glob: str = "*.sql") -> DataFrame:
+    """location_no, script, content of all files below the locations.
+
+    ``script`` is the path below its location.  A location is ``filesystem:`` +
+    any path Spark can read, relative and with ``..`` as well.  ``name_glob`` is applied before files are opened;
+    ``content`` is only read when it is used.  ``list_scripts`` and ``read_contents`` open fewer files.
+    """
+    return _of_locations(spark, locations, name_glob, "content")
+
+
+def list_scripts(spark: SparkSession, locations: Sequence[str], name_glob: str = "*.sql") -> DataFrame:
+    """location_no, script, path, length, modificationTime of all files below the locations; none is opened.
+
+    Choose on it, by ``PathFilter.matches``, by ``first_location`` or by time, then ``read_contents``.
+    """
+    return _of_locations(spark, locations, name_glob, "path", "length", "modificationTime")
+
+
+def read_contents(listing: DataFrame) -> DataFrame:
+    """The rows of a listing (its columns but path, length and time) with the ``content`` of their files.
+
+    Only these files are opened.  Their paths come to the driver, which holds the paths of every scan it
+    plans; a path that two rows name is read once.
+    """
+    spark = listing.sparkSession
+    rows = listing.drop("length", "modificationTime")
+    paths = [r["path"] for r in rows.select("path").distinct().collect()]
+    if not paths:
+        return rows.drop("path").withColumn("content", F.lit(None).cast("binary"))
+    files = spark.read.format("binaryFile").load([glob_escaped(p) for p in paths])
+    # equal expressions, not equal columns: a condition on the path of one location would else be tried on all files
+    same = F.concat(F.lit("p"), F.col("path")) == F.concat(F.lit("p"), F.col("of_path"))
+    return rows.join(files.select(F.col("path").alias("of_path"), "content"), same).drop("path", "of_path")
+
+
 def first_location(scripts: DataFrame) -> DataFrame:
     """Each script once, from the first location that has it.
 

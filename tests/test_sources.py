@@ -11,7 +11,8 @@ from changeledger.plans.commands import Reconciler
 from changeledger.schema import LEDGER_SCHEMA, LedgerError
 from changeledger.sources.ledgers import (
     append_records, create_ledger_table, in_rank_order, read_ledger, save_bucketed, write_snapshot)
-from changeledger.sources.scripts import first_location, read_scripts, script_text
+from changeledger.functions.paths import PathFilter
+from changeledger.sources.scripts import first_location, list_scripts, read_contents, read_scripts, script_text
 from conftest import rows
 
 
@@ -41,6 +42,46 @@ def test_read_scripts(spark, folders):
     assert "content" not in paths_only.split("BinaryFile")[-1].split("ReadSchema")[-1]
 
 
+def test_only_chosen_files_are_opened(spark, folders, tmp_path):
+    """A listing opens no file; contents come from the files that path filter and order of locations leave."""
+    (tmp_path / "two" / "a[1] +%20.sql").write_bytes(b"odd name")
+    listing = list_scripts(spark, folders)
+    assert rows(listing, "location_no", "script", "length") == [
+        (0, "1.0/V1.0.1__a b.sql", 14), (0, "R__v.sql", 5), (1, "R__v.sql", 6), (1, "a[1] +%20.sql", 8), (1, "deep/er/V2__b.sql", 3)]
+    scan = listing._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in scan.split("BinaryFile")[-1].split("ReadSchema")[-1]
+    chosen = first_location(listing.filter(PathFilter(path_regex=r"[^V]*R__v\.sql|.*%20\.sql").matches(F.col("script"))))
+    found = read_contents(chosen.withColumn("target", F.lit("t")))
+    assert rows(found.select("target", "script", script_text(F.col("content")).alias("text")), "target", "script", "text") == [
+        ("t", "R__v.sql", "first"), ("t", "a[1] +%20.sql", "odd name")]
+    whole = first_location(read_scripts(spark, folders)).filter(PathFilter(path_regex=r"[^V]*R__v\.sql|.*%20\.sql").matches(F.col("script")))
+    assert rows(whole, "script", "content") == rows(found, "script", "content")
+    assert _files_read(found) == 2
+    assert read_contents(listing.limit(0)).collect() == []
+
+
+def _files_read(frame) -> int:
+    """Files that the scan with contents lists, from the metrics of its plan."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan.executedPlan() if "executedPlan" in dir(plan) else plan]
+    while todo:
+        node = todo.pop()
+        if "content" in node.toString().split("\n")[0] and node.nodeName().startswith("Scan"):
+            found.append(node.metrics().apply("numFiles").value())
+        for call in ("plan", "executedPlan"):
+            if call in dir(node):
+                todo.append(getattr(node, call)())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return sum(found)
+
+
+def test_locations_above_the_root(spark):
+    with pytest.raises(LedgerError):
+        list_scripts(spark, ["filesystem:/../../tmp"])
+
+
 def test_roots_are_qualified(spark, tmp_path, monkeypatch):
     """Relative, dotted and URI roots, one whose name ends an earlier folder, and signs that mean patterns."""
     root = tmp_path / "mysql" / "project" / "sql"
