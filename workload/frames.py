@@ -7,9 +7,13 @@ catalog after they had run.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from changeledger.operators.distribute import use_checkpoint_dir
 from changeledger.schema import BASELINE, REPEATABLE, SQL, UNDO_SQL
+from changeledger.sources.commits import append_run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +105,32 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("checksum") % 3).alias("applied_in_batch"))
 
 
+def repeated_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes, every sixth one twice; the second is later, and every other second one says that it failed."""
+    number = F.regexp_extract("script", r"__d(\d+)\.sql", 1).cast("long")
+    once = outcomes(spark, sf_dir)
+    again = once.filter(number % 6 == 0).withColumn("success", F.col("success") & (number % 12 != 0)) \
+        .withColumn("elapsed_ms", F.col("elapsed_ms") + 1000)
+    return once.unionByName(again)
+
+
+def odd_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with every fiftieth record without a target, and blank versions instead of none."""
+    return ledger(spark, sf_dir).withColumn("version", F.coalesce("version", F.lit(""))).withColumn(
+        "target", F.when(F.col("installed_rank") % 50 != 8, F.col("target")))
+
+
+def ledger_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The ledger in a folder of three commits, the later ones much smaller."""
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+    records, rank = ledger(spark, sf_dir), F.col("installed_rank")
+    share = F.when(rank % 10 < 8, 0).when(rank % 10 == 8, 1).otherwise(2)
+    for commit in range(3):
+        append_run(records.filter(share == commit), path, f"run{commit}", commit - 1, parts=16)
+    return path
+
+
 def with_placeholders(text: Column) -> Column:
     for word, use in [(" the ", " ${word} "), (" of ", " $${of} "), (" to ", " ${ledger:schema} "),
                       (" and ", " ${nope} ")]:
@@ -136,11 +166,10 @@ def page_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second page in location 0, every third one in location 1; some in both."""
+    """All pages in location 0, and those of two languages in location 1 as well."""
     pages = page_scripts(spark, sf_dir)
-    page = _page_of(F.col("script"))
-    return pages.filter(page % 2 == 0).withColumn("location_no", F.lit(0)).unionByName(
-        pages.filter(page % 3 == 0).withColumn("location_no", F.lit(1)))
+    return pages.withColumn("location_no", F.lit(0)).unionByName(
+        pages.filter(F.col("target").isin("en", "fr")).withColumn("location_no", F.lit(1)))
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,24 @@ PARTIAL = (RECORDS.replace("p.checksum % 5 <> 0 AS ok", "p.doc_id % 9 <> 0 AS th
            .replace("OR place <= stopped)", "OR place <= stopped) AND there")
            .replace("substr(target, 4) AS INTEGER) % 2 <> 0)", "substr(target, 4) AS INTEGER) % 2 <> 0 OR target = 'src5')"))
 
+# The same records where every sixth outcome is there twice, with every other second one failed.
+REPEATED = RECORDS.replace("p.checksum % 5 <> 0 AS ok, p.checksum::BIGINT * 1000000 AS elapsed", """
+    p.checksum % 5 <> 0 AND p.doc_id % 12 <> 0 AS ok, p.checksum::BIGINT * 1000000
+    + CASE WHEN p.doc_id % 12 = 0 AND p.checksum % 5 <> 0 THEN 1000 ELSE 0 END AS elapsed""")
+
+REPAIRED = """SELECT l.target, installed_rank, version, description, type,
+    l.script, CASE WHEN u.script IS NOT NULL THEN u.checksum ELSE l.checksum END AS checksum,
+    installed_by, installed_on, execution_time, success
+  FROM ledger l LEFT JOIN (SELECT target, script, arg_max(checksum, vnum) AS checksum
+    FROM updates GROUP BY target, script) u ON u.target = l.target AND u.script = l.script"""
+
+# A ledger with records without a target and with blank versions.
+ODD_REPAIR = (REPAIR.replace("SELECT s.target, CAST(e.event_id + 1", "SELECT CASE WHEN e.event_id % 50 <> 7 THEN s.target END AS target, CAST(e.event_id + 1")
+              .replace("ELSE s.spelling2 END AS version", "ELSE s.spelling2 END AS version0")
+              .replace("SELECT *, coalesce('v' || vnum, 's' || script) AS item\n  FROM ledger0",
+                       "SELECT *, coalesce(version0, '') AS version, coalesce('v' || vnum, 's' || script) AS item\n  FROM ledger0")
+              .replace("SELECT * FROM ledger WHERE success AND", "SELECT * FROM ledger WHERE target IS NOT NULL AND success AND"))
+
 STRICT = f"""SELECT target FROM problems UNION SELECT target FROM verdicts WHERE verdict = 'out_of_order'"""
 
 
@@ -255,6 +273,9 @@ def build(known_words: list[str]) -> dict[str, str]:
         "state_view": f"""WITH {STATES} SELECT target, script, state, r_version AS version,
             a_version AS applied_version, installed_rank::VARCHAR AS installed_rank,
             r_checksum::VARCHAR AS checksum, a_checksum::VARCHAR AS applied_checksum FROM view""",
+        "state_incremental": f"""WITH {STATES} SELECT target, script, state, r_version AS version,
+            a_version AS applied_version, installed_rank::VARCHAR AS installed_rank,
+            r_checksum::VARCHAR AS checksum, a_checksum::VARCHAR AS applied_checksum FROM view""",
         "state_counts": f"WITH {STATES} SELECT target, state, count(*) AS items FROM view GROUP BY ALL",
         "state_summary": f"WITH {STATES} SELECT target, " + ", ".join(
             f"count(*) FILTER (state = '{s}') AS {s.lower()}" for s in (
@@ -276,6 +297,7 @@ def build(known_words: list[str]) -> dict[str, str]:
             FROM ledger WHERE NOT success GROUP BY target""",
         "verdicts": f"WITH {_verdicts(strict=True)} SELECT target, script, verdict FROM verdicts",
         "pending_all": _pending("true"),
+        "pending_incremental": _pending("true"),
         "pending_strict": f"""WITH {_verdicts(strict=True)} SELECT target, script, version FROM plan
             WHERE target NOT IN (SELECT target FROM verdicts WHERE verdict = 'out_of_order')""",
         "pending_exact": _pending("c.vnum = 14"),
@@ -314,12 +336,12 @@ def build(known_words: list[str]) -> dict[str, str]:
             FROM plan WHERE script IS NULL""",
         "undo_records": "WITH " + UNDO.replace("plan AS (", "plan0 AS (")
             + ", plan AS (SELECT * FROM plan0 WHERE script IS NOT NULL)" + RECORDS,
-        "repair_ledger": f"""WITH {REPAIR} SELECT l.target, installed_rank, version, description, type,
-            l.script, CASE WHEN u.script IS NOT NULL THEN u.checksum ELSE l.checksum END AS checksum,
-            installed_by, installed_on, execution_time, success
-            FROM ledger l LEFT JOIN (SELECT target, script, arg_max(checksum, vnum) AS checksum
-              FROM updates GROUP BY target, script) u ON u.target = l.target AND u.script = l.script
-            WHERE success""",
+        "repair_ledger": f"WITH {REPAIR} {REPAIRED} WHERE success",
+        "repair_delta": f"WITH {REPAIR} {REPAIRED} WHERE success",
+        "repair_untouched": f"""WITH {ODD_REPAIR} SELECT * REPLACE (checksum::VARCHAR AS checksum)
+            FROM ({REPAIRED} WHERE success OR l.target IS NULL)""",
+        "untouched_report": f"""WITH {ODD_REPAIR} SELECT target, action, script FROM report WHERE target IS NOT NULL
+            UNION ALL SELECT target, 'left', script FROM ledger WHERE target IS NULL""",
         "repair_report": f"WITH {REPAIR} SELECT * FROM report",
         "repair_counts": f"""WITH {REPAIR} SELECT target, count(*) FILTER (action = 'removed') AS removed,
             count(*) FILTER (action = 'aligned') AS aligned FROM report GROUP BY target""",
@@ -408,7 +430,7 @@ def build(known_words: list[str]) -> dict[str, str]:
             SELECT target, script FROM placed WHERE kind IN ('SQL', 'REPEATABLE') AND target NOT IN (
               SELECT target FROM placed WHERE kind IN ('2001', '2005') OR NOT fits UNION SELECT target FROM doubled)""",
         "duplicate_locations": f"""WITH {PAGES}, both_ AS (
-              SELECT *, 0 AS place FROM files WHERE page_id % 2 = 0 UNION ALL SELECT *, 1 FROM files WHERE page_id % 3 = 0),
+              SELECT *, 0 AS place FROM files UNION ALL SELECT *, 1 FROM files WHERE target IN ('en', 'fr')),
             named2 AS (SELECT target, script, place, row_number() OVER w AS nr, first_value(script) OVER w AS first_script,
                 first_value(place) OVER w AS first_place FROM both_ WHERE kind IN ('SQL', 'REPEATABLE')
               WINDOW w AS (PARTITION BY target, kind, CASE WHEN kind = 'SQL' THEN concat('v', major, '.', page_id % 2) ELSE script END
@@ -419,6 +441,12 @@ def build(known_words: list[str]) -> dict[str, str]:
         "record_problems": f"""WITH {PLAN} SELECT target, '2010' AS code, script, 'no outcome' AS detail FROM plan
             WHERE doc_id % 9 = 0 UNION ALL SELECT DISTINCT target, '4002', '', 'no settings of the target' FROM plan
             WHERE target = 'src5'""",
+        "record_repeated": f"WITH {PLAN}{REPEATED}",
+        "repeat_problems": f"""WITH {PLAN} SELECT target, '2010' AS code, script, '2 outcomes' AS detail FROM plan
+            WHERE doc_id % 6 = 0""",
+        "append_repeated": f"WITH {PLAN}{RECORDS}",
+        "append_conflicts": f"""SELECT DISTINCT target, '3001' AS code, '' AS script, 'records added by commit 3' AS detail
+            FROM (WITH {PLAN}{RECORDS})""",
         "no_hit_asked": f"""WITH {LATEST}, asked AS (SELECT target FROM catalog UNION SELECT source FROM documents
               UNION SELECT c_name FROM customer)
             SELECT target, '2001' AS code, '' AS script, 'nothing matches 3.7' AS detail FROM asked

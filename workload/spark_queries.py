@@ -13,12 +13,15 @@ from changeledger.functions.versions import version_key
 from changeledger.operators import history, pending as pending_ops, problems as problem_ops
 from changeledger.operators import state as state_ops
 from changeledger.operators.catalog import build_catalog, classify, duplicate_versions
+from changeledger.operators.distribute import fixed
 from changeledger.operators.report import info_report
+from changeledger.operators.snapshot import ledger_snapshot
 from changeledger.operators.statements import (
     dry_run, failing_statements, missing_texts, placeholder_problems, resolve_text)
 from changeledger.operators.suggest import nearest_key
 from changeledger.plans.commands import Reconciler
-from changeledger.schema import LEDGER_SCHEMA
+from changeledger.schema import LEDGER_COLUMNS, LEDGER_SCHEMA
+from changeledger.sources.commits import advance_snapshot, append_run, last_commit, read_commits, repair_in_place
 from workload import frames as fx
 
 KNOWN_WORDS = ["the", "and", "worthless", "international", "whst", "einachie", "quality"]
@@ -38,7 +41,11 @@ def _view(spark, sf) -> DataFrame:
 
 
 def state_view(spark, sf):
-    return _view(spark, sf).select(
+    return _state_columns(_view(spark, sf))
+
+
+def _state_columns(view: DataFrame) -> DataFrame:
+    return view.select(
         "target", state_ops.effective("script").alias("script"), "state",
         F.col("resolved.version").alias("version"), F.col("applied.version").alias("applied_version"),
         *(F.col(field).cast("string").alias(name) for field, name in (
@@ -301,6 +308,73 @@ def record_problems(spark, sf):
     return history.record_problems(_plan(spark, sf), _partial_outcomes(spark, sf), some)
 
 
+def _doubled_targets(spark, sf) -> DataFrame:
+    return fx.targets(spark, sf).unionByName(fx.targets(spark, sf))
+
+
+def record_repeated(spark, sf):
+    return history.record_outcomes(_plan(spark, sf), fx.repeated_outcomes(spark, sf), _doubled_targets(spark, sf),
+                                   fx.ledger(spark, sf), "runner", _moment())
+
+
+def repeat_problems(spark, sf):
+    return history.record_problems(_plan(spark, sf), fx.repeated_outcomes(spark, sf), _doubled_targets(spark, sf))
+
+
+def repair_untouched(spark, sf):
+    """What is not repaired stays as it was: blank versions, and records without a target."""
+    return history.repair(fx.catalog(spark, sf), fx.odd_ledger(spark, sf))[0].withColumn(
+        "checksum", F.col("checksum").cast("string"))
+
+
+def untouched_report(spark, sf):
+    return history.repair(fx.catalog(spark, sf), fx.odd_ledger(spark, sf))[1]
+
+
+def repair_delta(spark, sf):
+    """A ledger of commits after repair of the parts that needed it."""
+    path = fx.ledger_folder(spark, sf)
+    repair_in_place(fx.catalog(spark, sf), path)
+    return read_commits(spark, path).select(*LEDGER_COLUMNS)
+
+
+def _appended(spark, sf):
+    """A ledger folder to which one plan was appended by a run, by the same run again and by another run."""
+    path = fx.ledger_folder(spark, sf)
+    before = last_commit(spark, path)
+    records = fixed(_records(spark, sf, _plan(spark, sf)))
+    append_run(records, path, "night-1", before, parts=16)
+    append_run(records, path, "night-1", before, parts=16)
+    conflicts = append_run(records, path, "night-2", before, parts=16)
+    return read_commits(spark, path, after=before), conflicts
+
+
+def append_repeated(spark, sf):
+    return _appended(spark, sf)[0].select(*LEDGER_COLUMNS)
+
+
+def append_conflicts(spark, sf):
+    return _appended(spark, sf)[1]
+
+
+def _grown_snapshot(spark, sf):
+    """A snapshot of the first commits, and the one that grows from it by the last commit."""
+    path = fx.ledger_folder(spark, sf)
+    state, last = f"{path}-state", last_commit(spark, path)
+    snapshot = ledger_snapshot(read_commits(spark, path, upto=last - 1))
+    snapshot.write.parquet(f"{state}/repairs=0/upto={last - 1}")
+    return advance_snapshot(spark, path, state)
+
+
+def state_incremental(spark, sf):
+    return _state_columns(state_ops.state_view(fx.catalog(spark, sf), _grown_snapshot(spark, sf)))
+
+
+def pending_incremental(spark, sf):
+    return pending_ops.pending(fx.catalog(spark, sf), _grown_snapshot(spark, sf), out_of_order=True).select(
+        "target", "script", "version")
+
+
 def no_hit_asked(spark, sf):
     return pending_ops.selection_without_hit(fx.catalog(spark, sf), NO_HIT, fx.fleet(spark, sf))
 
@@ -391,6 +465,15 @@ QUERIES = {
     "duplicate_locations": duplicate_locations,
     "record_partial": record_partial,
     "record_problems": record_problems,
+    "record_repeated": record_repeated,
+    "repeat_problems": repeat_problems,
+    "repair_untouched": repair_untouched,
+    "untouched_report": untouched_report,
+    "repair_delta": repair_delta,
+    "append_repeated": append_repeated,
+    "append_conflicts": append_conflicts,
+    "state_incremental": state_incremental,
+    "pending_incremental": pending_incremental,
     "no_hit_asked": no_hit_asked,
     "missing_texts": missing_texts_of_plan,
     "dry_run": dry_run_plan,
