@@ -31,13 +31,15 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
 
 
-def sums_before(values: Column) -> Column:
-    """For every element, the sum of the elements in front of it.
+#: From so many elements on, sums are kept in several levels.
+LARGE = 4_096
+#: Elements per sum of a level.
+FANOUT, LEVELS = 16, 4
 
-    Sums are kept per block of sqrt(n) elements, so n elements cost about
-    n * sqrt(n) additions and no shuffle.
-    """
-    def with_block(a: Column, size: Column) -> Column:
+
+def _in_one_level(a: Column) -> Column:
+    """Sums per block of sqrt(n) elements: about n * sqrt(n) additions."""
+    def with_block(size: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), size)
         block_sums = F.transform(starts, lambda s: _total(F.slice(a, s + 1, size)))
         return let(
@@ -46,9 +48,36 @@ def sums_before(values: Column) -> Column:
                 F.get(offsets, F.floor(i / size).cast("int"))
                 + _total(F.slice(a, i - i % size + 1, i % size)))))
 
-    return let(values, lambda a: let(
-        F.greatest(F.floor(F.sqrt(F.size(a))).cast("int"), F.lit(1)),
-        lambda size: with_block(a, size)))
+    return let(F.greatest(F.floor(F.sqrt(F.size(a))).cast("int"), F.lit(1)), with_block)
+
+
+def _in_levels(a: Column) -> Column:
+    """Each level holds the sums of FANOUT elements of the one below; an element adds less than FANOUT numbers of
+    each level, and of the last one as many as lie in front."""
+    def climb(levels: list[Column]) -> Column:
+        if len(levels) <= LEVELS:
+            starts = F.sequence(F.lit(0), F.greatest(F.size(levels[-1]) - 1, F.lit(0)), F.lit(FANOUT))
+            above = F.transform(starts, lambda s: _total(F.slice(levels[-1], s + 1, FANOUT)))
+            return let(above, lambda sums: climb([*levels, sums]))
+
+        def before(i: Column) -> Column:
+            total = _total(F.slice(levels[-1], F.lit(1), F.shiftright(i, 4 * LEVELS)))
+            for level, sums in enumerate(levels[:-1]):
+                at = F.shiftright(i, 4 * level)
+                total = total + _total(F.slice(sums, at - at % FANOUT + 1, at % FANOUT))
+            return total
+
+        return F.transform(a, lambda _, i: before(i))
+
+    return climb([a])
+
+
+def sums_before(values: Column) -> Column:
+    """For every element, the sum of the elements in front of it, without a shuffle.
+
+    Long arrays take time in proportion to their length: five short sums per element up to some millions.
+    """
+    return let(values, lambda a: F.when(F.size(a) < LARGE, _in_one_level(a)).otherwise(_in_levels(a)))
 
 
 def newlines(text: Column) -> Column:

@@ -95,6 +95,17 @@ def dry_run(plan: DataFrame, scripts: DataFrame, targets: DataFrame | None = Non
     return split_statements(texts, dialect)
 
 
+def write_in_order(statements: DataFrame, path: str) -> None:
+    """Write a dry run so that its files, read by name, are the statements in the order they would be sent.
+
+    Rows are dealt out by ranges of (target, run_order, stmt_no) and sorted in each file: no task sorts
+    everything, small targets share a file, and a large one is spread over several.
+    """
+    order = [F.asc("target"), F.asc("run_order"), F.asc("stmt_no")]
+    (statements.repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode("errorifexists").parquet(path))
+
+
 def failing_statements(statements: DataFrame, outcomes: DataFrame, batch_size: int = 1) -> DataFrame:
     """Number and line of the statement at which each failed script stopped.
 

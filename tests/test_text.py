@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -11,7 +12,7 @@ from changeledger.functions.placeholders import substitute, undefined_placeholde
 from changeledger.functions.redact import redact
 from changeledger.functions.splitter import (
     Dialect, MYSQL, ORACLE, POSTGRESQL, split_statements, split_text, with_batches)
-from changeledger.operators.statements import failing_statements
+from changeledger.operators.statements import failing_statements, write_in_order
 
 
 # ------------------------------------------------------------------ checksum
@@ -183,3 +184,30 @@ def test_failures_of_one_name_in_two_targets(spark):
                                      "target string, script string, success boolean, batch_no int, applied_in_batch int")
     found = sorted((r.target, r.stmt_no, r.line) for r in failing_statements(statements, outcomes).collect())
     assert found == [("a", 2, 2), ("b", 2, 4)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 255, 256, 4095, 4096, 4097, 70_001])
+def test_sums_before_at_all_sizes(spark, n):
+    values = [(i * 7) % 11 for i in range(n)]
+    frame = spark.createDataFrame([(values,)], "v array<int>")
+    want = [sum(values[:i]) for i in range(n)] if n < 300 else list(itertools.accumulate(values, initial=0))[:n]
+    assert list(frame.select(sums_before(F.col("v")).alias("s")).first()["s"]) == want
+
+
+def test_a_dry_run_written_in_order(spark, tmp_path):
+    """Files read by name are the plan in order: several targets in a file, a large target over several."""
+    r = random.Random(3)
+    rows_ = [(t, (False, "", f"v{i:05}"), f"s{i}", n, "x") for t, size in [("a", 3), ("hot", 900), ("m", 2), ("z", 5)]
+             for i in range(size) for n in (1, 2, 3)]
+    r.shuffle(rows_)
+    frame = spark.createDataFrame(rows_, "target string, run_order struct<repeatable:boolean,directory:string,version:string>, script string, stmt_no int, sql string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_in_order(frame.repartition(6), str(tmp_path / "plan"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "plan").glob("part-*.parquet"))
+    parts = [[(r.target, tuple(r.run_order), r.stmt_no) for r in spark.read.parquet(str(f)).coalesce(1).collect()] for f in files]
+    assert [x for part in parts for x in part] == sorted((t, o, n) for t, o, _, n, _ in rows_)
+    hot = [i for i, part in enumerate(parts) if any(x[0] == "hot" for x in part)]
+    assert len(hot) > 1 and any(len({x[0] for x in part}) > 1 for part in parts)

@@ -150,6 +150,24 @@ def statement_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts(spark, sf_dir).select("target", "script", as_statements(F.col("text")).alias("text"))
 
 
+def _sentences(text: Column) -> Column:
+    """Parts of a text between full stops, with ASCII signs and control characters as spaces; blank ones left out."""
+    plain = F.regexp_replace(text, r"[\x00-\x1F!-\-/:-@\[-`{-~\x7F]", " ")
+    return F.filter(F.transform(F.split(plain, "[.]"), lambda s: F.btrim(s)), lambda s: s != "")
+
+
+def dialect_scripts(spark: SparkSession, sf_dir: str, forms: list[str]) -> DataFrame:
+    """Scripts of one statement per sentence, in the given forms by turns; ``{s}`` stands for the sentence."""
+    def written(sentence: Column, place: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for number, form in enumerate(forms):
+            found = F.when(place % len(forms) == number, F.replace(F.lit(form), F.lit("{s}"), sentence)).otherwise(found)
+        return found
+
+    return scripts(spark, sf_dir).select("target", "script", F.array_join(
+        F.transform(_sentences(F.col("text")), written), "").alias("text"))
+
+
 def shared_names(frame: DataFrame) -> DataFrame:
     """Scripts under names that other targets use for other texts; needs doc_id."""
     return frame.withColumn("script", F.concat(F.lit("s"), F.floor(F.col("doc_id") / 20).cast("string")))

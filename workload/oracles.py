@@ -6,7 +6,9 @@ from, so the SQL shares no version logic with the library.
 
 from __future__ import annotations
 
+from changeledger.functions.paths import CALLBACK_SCRIPTS
 from workload.crc_sql import CRC_TABLE, crc32
+from workload.dialects import DOLLAR_FORMS, MYSQL_FORMS, ORACLE_FORMS
 
 FRAMES = """
 numbered AS (
@@ -219,6 +221,9 @@ statements AS (
 PLACEHOLDER_TEXT = ("replace(replace(replace(replace(text, ' the ', ' {the} '), ' of ', ' {of} '),"
                     " ' to ', ' {to} '), ' and ', ' {nope} ')")
 
+PLACEHOLDER_SIGNS = ("replace(replace(replace(replace(text, ' the ', ' ${word} '), ' of ', ' $${of} '),"
+                     " ' to ', ' ${ledger:schema} '), ' and ', ' ${nope} ')")
+
 REPORT_STATES = """CASE state WHEN 'PENDING' THEN '待执行' WHEN 'SUCCESS' THEN '成功' WHEN 'FAILED' THEN '失败'
     WHEN 'MISSING' THEN '缺失' WHEN 'OUT_OF_ORDER' THEN '乱序' WHEN 'FUTURE' THEN '未来版本'
     WHEN 'OUTDATED' THEN '待更新' WHEN 'BASELINE' THEN '基准' WHEN 'UNDONE' THEN '已撤销' END"""
@@ -258,6 +263,27 @@ def _checksum(source: str, name: str, column: str) -> str:
             f"FROM (SELECT {name}, {crc} AS c FROM {source}, crc_table)")
 
 
+def _text(value: str) -> str:
+    """An SQL literal."""
+    return "concat('" + value.replace("'", "''").replace("\n", "', chr(10), '") + "')"
+
+
+def _dialect(forms: list[tuple[str, str, int, int]]) -> str:
+    """One statement per sentence, in the forms by turns; lines follow from the lines of the forms in front."""
+    def of_form(part: int, wrap) -> str:
+        return "CASE (i - 1) % " + str(len(forms)) + "".join(
+            f" WHEN {n} THEN {wrap(form[part])}" for n, form in enumerate(forms)) + " END"
+
+    return f"""WITH {FRAMES}, parts AS (
+  SELECT target, script, list_filter(list_transform(string_split(regexp_replace(text, '[\\x00-\\x1F!-\\-/:-@\\[-`{{-~\\x7F]', ' ', 'g'), '.'),
+    lambda s: trim(s)), lambda s: s <> '') AS sentences FROM scripts),
+rows AS (SELECT target, script, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS i FROM parts),
+sized AS (SELECT *, {of_form(1, lambda f: f"replace({_text(f)}, '{{s}}', s)")} AS sql, {of_form(2, str)} AS above,
+  {of_form(3, str)} AS takes FROM rows)
+SELECT target, script, i::INTEGER AS stmt_no, (1 + above + coalesce(sum(takes) OVER (
+  PARTITION BY script ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS line, sql FROM sized"""
+
+
 def _nearest(known: list[str]) -> str:
     values = ", ".join(f"({i}, '{w}')" for i, w in enumerate(known))
     return f"""WITH known(place, name) AS (VALUES {values}),
@@ -447,6 +473,25 @@ def build(known_words: list[str]) -> dict[str, str]:
         "append_repeated": f"WITH {PLAN}{RECORDS}",
         "append_conflicts": f"""SELECT DISTINCT target, '3001' AS code, '' AS script, 'records added by commit 3' AS detail
             FROM (WITH {PLAN}{RECORDS})""",
+        "split_mysql": _dialect(MYSQL_FORMS),
+        "split_oracle": _dialect(ORACLE_FORMS),
+        "split_dollar": _dialect(DOLLAR_FORMS),
+        "callback_names": f"""WITH named AS (SELECT doc_id, ([{", ".join(f"'{c}'" for c in (
+              *CALLBACK_SCRIPTS, "beforemigrate.sql", "beforeMigrate.SQL", "afterUndo2.sql", "V1__beforeMigrate.sql"))}])[doc_id % {len(CALLBACK_SCRIPTS) + 4} + 1] AS name,
+              doc_id // 20 % 3 = 2 AS below, doc_id % {len(CALLBACK_SCRIPTS) + 4} AS n, lang FROM documents)
+            SELECT doc_id, CASE WHEN below THEN concat(lang, '/', name) ELSE name END AS script,
+              CASE WHEN n = {len(CALLBACK_SCRIPTS) + 3} THEN 'SQL' WHEN n < {len(CALLBACK_SCRIPTS)} AND NOT below THEN 'CALLBACK' ELSE 'IGNORED' END AS kind FROM named""",
+        "plan_by_directory": f"""WITH {PLAN} SELECT target, script, CAST(row_number() OVER (PARTITION BY target ORDER BY vnum IS NULL,
+              vnum % 7, vnum, CASE WHEN vnum IS NULL THEN description END, script) AS INTEGER) AS step,
+            CAST(count(*) OVER (PARTITION BY target) AS INTEGER) AS steps FROM plan""",
+        "dry_run_undo": f"""WITH {UNDO}, {STATEMENTS} SELECT s.target, s.script, s.kind, stmt_no, line, sql
+            FROM statements s JOIN plan p ON p.target = s.target AND p.script = s.script""",
+        "dry_run_plain": f"""WITH {PLAN}, {STATEMENTS.replace("texts AS (", "texts0 AS (").replace("FROM scripts),", "FROM scripts), texts AS (SELECT * REPLACE (" + PLACEHOLDER_SIGNS + " AS text) FROM texts0),")}
+            SELECT s.target, s.script, s.kind, stmt_no, line, sql
+            FROM statements s JOIN plan p ON p.target = s.target AND p.script = s.script""",
+        "unknown_checksums": "WITH " + PROBLEMS.replace("FROM scripts s\n", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 4 <> 0 THEN checksum END AS checksum) FROM scripts) s\n")
+            .replace("FROM ledger0", "FROM (SELECT * REPLACE (CASE WHEN installed_rank % 3 <> 0 THEN checksum END AS checksum) FROM ledger0)")
+            + " SELECT * FROM problems",
         "no_hit_asked": f"""WITH {LATEST}, asked AS (SELECT target FROM catalog UNION SELECT source FROM documents
               UNION SELECT c_name FROM customer)
             SELECT target, '2001' AS code, '' AS script, 'nothing matches 3.7' AS detail FROM asked

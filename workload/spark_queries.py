@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from changeledger.functions.checksum import script_checksum
-from changeledger.functions.paths import PathFilter, directory_version
+from changeledger.functions.paths import CALLBACK_SCRIPTS, PathFilter, directory_version
 from changeledger.functions.redact import redact
 from changeledger.functions.selection import VersionSelection
-from changeledger.functions.splitter import split_statements, with_batches
+from changeledger.functions.splitter import MYSQL, ORACLE, POSTGRESQL, Dialect, split_statements, with_batches
 from changeledger.functions.versions import version_key
 from changeledger.operators import history, pending as pending_ops, problems as problem_ops
 from changeledger.operators import state as state_ops
@@ -23,6 +23,7 @@ from changeledger.plans.commands import Reconciler
 from changeledger.schema import LEDGER_COLUMNS, LEDGER_SCHEMA
 from changeledger.sources.commits import advance_snapshot, append_run, last_commit, read_commits, repair_in_place
 from workload import frames as fx
+from workload.dialects import DOLLAR_FORMS, MYSQL_FORMS, ORACLE_FORMS
 
 KNOWN_WORDS = ["the", "and", "worthless", "international", "whst", "einachie", "quality"]
 
@@ -375,6 +376,50 @@ def pending_incremental(spark, sf):
         "target", "script", "version")
 
 
+def _dialect(forms, dialect):
+    def query(spark, sf):
+        texts = fx.dialect_scripts(spark, sf, [form[0] for form in forms])
+        return split_statements(texts, dialect).select("target", "script", "stmt_no", "line", "sql")
+    return query
+
+
+def callback_names(spark, sf):
+    """Names of hooks, of nearly hooks and of hooks below the root."""
+    names = [*CALLBACK_SCRIPTS, "beforemigrate.sql", "beforeMigrate.SQL", "afterUndo2.sql", "V1__beforeMigrate.sql"]
+    doc = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, names)), (doc % len(names) + 1).cast("int"))
+    script = F.when(F.floor(doc / 20) % 3 == 2, F.concat("lang", F.lit("/"), name)).otherwise(name)
+    return classify(fx.table(spark, sf, "documents").select("doc_id", script.alias("script"))).select("doc_id", "script", "kind")
+
+
+def plan_by_directory(spark, sf):
+    """Steps of a plan whose folders go against the order of versions."""
+    number = F.floor(F.substring("description", 2, 20).cast("long") / 20) % 7
+    catalog = fx.catalog(spark, sf).withColumn("dir_version", F.when(F.col("version").isNotNull(), number.cast("string")))
+    plan = pending_ops.pending(catalog, fx.ledger(spark, sf), out_of_order=True, by_directory=True)
+    return pending_ops.with_progress(plan).select("target", "script", "step", "steps")
+
+
+def dry_run_undo(spark, sf):
+    run = Reconciler(fx.catalog(spark, sf), fx.ledger(spark, sf), fx.targets(spark, sf))
+    return run.dry_run_undo(fx.statement_scripts(spark, sf))[0].select("target", "script", "kind", "stmt_no", "line", "sql")
+
+
+def dry_run_plain(spark, sf):
+    """Without substitution: placeholders are sent as they are, and undefined ones hold nothing back."""
+    texts = fx.statement_scripts(spark, sf).withColumn("text", fx.with_placeholders(F.col("text")))
+    return dry_run(_plan(spark, sf), texts, fx.targets(spark, sf), Dialect(), substitution=False).select(
+        "target", "script", "kind", "stmt_no", "line", "sql")
+
+
+def unknown_checksums(spark, sf):
+    """Problems where one side or both sides have no checksum."""
+    number, rank = F.substring("description", 2, 20).cast("long"), F.col("installed_rank")
+    catalog = fx.catalog(spark, sf).withColumn("checksum", F.when(number % 4 != 0, F.col("checksum")))
+    ledger = fx.ledger(spark, sf).withColumn("checksum", F.when(rank % 3 != 0, F.col("checksum")))
+    return problem_ops.validation_problems(state_ops.state_view(catalog, ledger))
+
+
 def no_hit_asked(spark, sf):
     return pending_ops.selection_without_hit(fx.catalog(spark, sf), NO_HIT, fx.fleet(spark, sf))
 
@@ -474,6 +519,14 @@ QUERIES = {
     "append_conflicts": append_conflicts,
     "state_incremental": state_incremental,
     "pending_incremental": pending_incremental,
+    "split_mysql": _dialect(MYSQL_FORMS, MYSQL),
+    "split_oracle": _dialect(ORACLE_FORMS, ORACLE),
+    "split_dollar": _dialect(DOLLAR_FORMS, POSTGRESQL),
+    "callback_names": callback_names,
+    "plan_by_directory": plan_by_directory,
+    "dry_run_undo": dry_run_undo,
+    "dry_run_plain": dry_run_plain,
+    "unknown_checksums": unknown_checksums,
     "no_hit_asked": no_hit_asked,
     "missing_texts": missing_texts_of_plan,
     "dry_run": dry_run_plan,
