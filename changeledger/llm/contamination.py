@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeledger.llm.common import lowered, settle
+from changeledger.llm.common import unused, lowered, settle
 
 #: Words of a window and of a shingle; an item of fewer words is one window (and one shingle) of its length.
 WINDOW, SHINGLE = 10, 5
@@ -146,9 +146,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs in which no window of a benchmark item occurs; all columns stay as they are.
 
-    Whether a row goes depends on its text alone, so rows go by the MD5 of their text.
+    Whether a row goes depends on its text alone, so rows go by the MD5 of their text. Defined results: as in
+    contamination(); NULL and empty texts stay; equal rows share their fate; an empty table gives an empty result.
     """
-    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    key, bad_text = F.md5(F.coalesce(F.col(text), F.lit(""))), unused(docs, "bad_text")
     found = contamination(docs.select(key.alias("text_key"), F.col(text).alias("text")), benchmark, "text_key", "text")
-    bad = found.filter("n_hit > 0").select(F.col("doc_id").alias("bad_text")).distinct()
-    return docs.join(bad, key == F.col("bad_text"), "left_anti")
+    bad = found.filter("n_hit > 0").select(F.col("doc_id").alias(bad_text)).distinct()
+    return docs.join(bad, key == F.col(bad_text), "left_anti")

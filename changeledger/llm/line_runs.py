@@ -131,15 +131,15 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, doc_id: str = "do
     lines stay; of equal rows only the first keeps its runs; a run may overlap its earlier copy; an empty
     table gives an empty result; a column with a result's name is replaced.
     """
-    row = unused(docs, "row_number")
+    row, of_row, gone_lines, gone_words = (unused(docs, c) for c in ("row_number", "of_row", "gone_lines", "gone_words"))
     written = settle(docs.withColumn(row, F.monotonically_increasing_id()))
     gone = repeated_lines(written.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), least)
     lists = (gone.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("d"), F.sum("words").alias("w"))
-             .select(F.col("row").alias(f"{row}_gone"), F.col("d").alias(f"{row}_d"), F.col("w").alias(f"{row}_w")))
-    joined = written.join(lists, F.col(row) == F.col(f"{row}_gone"), "left")
-    lines, deleted = F.split(F.col(text), "\n"), F.coalesce(F.col(f"{row}_d"), F.array().cast("array<int>"))
+             .select(F.col("row").alias(of_row), F.col("d").alias(gone_lines), F.col("w").alias(gone_words)))
+    joined = written.join(lists, F.col(row) == F.col(of_row), "left")
+    lines, deleted = F.split(F.col(text), "\n"), F.coalesce(F.col(gone_lines), F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), deleted)
     clean = F.when(F.size(deleted) > 0, F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).otherwise(F.col(text))
     return (joined.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)), "n_deleted": F.size(deleted),
-                                "n_deleted_words": F.coalesce(F.col(f"{row}_w"), F.lit(0)), "deleted": deleted, text: clean})
-            .drop(row, f"{row}_gone", f"{row}_d", f"{row}_w"))
+                                "n_deleted_words": F.coalesce(F.col(gone_words), F.lit(0)), "deleted": deleted, text: clean})
+            .drop(row, of_row, gone_lines, gone_words))

@@ -173,10 +173,10 @@ def one_of_each(docs: DataFrame, length: int = 3, most: int = 3, doc_id: str = "
 
     Of several rows with that id the first as written stays. Defined results as in simhash_groups().
     """
-    fp, row = unused(docs, "simhash"), unused(docs, "row_number")
+    fp, row, kept_row = (unused(docs, c) for c in ("simhash", "row_number", "kept_row"))
     written = settle(docs.withColumn(fp, fingerprints(F.col(text), length)).withColumn(row, F.monotonically_increasing_id()))
     rows = written.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     kept = (rows.join(_named(rows, most), F.col("fp") == F.col("of_fp")).groupBy("class").agg(F.min(first).alias("first"))
-            .select(F.col("first.row").alias("kept_row")))
-    return written.join(kept, F.col(row) == F.col("kept_row"), "left_semi").drop(fp, row)
+            .select(F.col("first.row").alias(kept_row)))
+    return written.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(fp, row)
