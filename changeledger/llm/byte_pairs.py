@@ -13,11 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A task forgets its known pieces when there are this many, and never keeps pieces of more bytes.
-KNOWN_PIECES, LONG_PIECE = 300_000, 64
+KNOWN_PIECES, LONG_PIECE = 400_000, 64
 #: Texts are cut into pieces, and new pieces merged, when this many characters of texts are together.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
 #: Bytes of new pieces that are merged together, and places from which on a merge works on vectors.
-LOT, MANY = 1 << 19, 24
+LOT, MANY = 1 << 20, 24
 
 
 class Ranks:
