@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeledger.llm.common import settle
@@ -19,6 +19,10 @@ from changeledger.llm.texts import encoded, words
 END = b""
 #: Different tokens and pairs that a task counts before it hands them on.
 HELD_WORDS, HELD_PAIRS = 200_000, 1_000_000
+#: A word with this share of all tokens or more is dealt to so many parts; at most 1 / HOT_SHARE words are.
+HOT_SHARE, HOT_PARTS = 0.002, 64
+#: Exchange ends when two rounds bring no more than this share of all growth.
+SMALL = 0.01
 #: A pair of token numbers is one long number: the first is shifted by so many bits.
 SHIFT = 31
 
@@ -59,17 +63,11 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 def head_of(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent words, at most ``most``: those at or above a frequency that is found by steps of an eighth
-    of a power of two, so that only a short table of steps reaches the driver. END is not a word."""
-    step = F.floor(F.log2(F.col("n")) * 8).cast("int")
-    found = counts.filter(F.length("token") > 0).withColumn("step", step)
-    total, least = 0, None
-    for row in sorted(found.groupBy("step").count().collect(), key=lambda r: -r["step"]):
-        total += row["count"]
-        if total > most:
-            break
-        least = row["step"]
-    return found.filter(F.col("step") >= (least if least is not None else 1 << 30)).select("token", "n")
+    """The ``most`` most frequent words, ties by the word itself. END is not a word.
+
+    Spark takes the first of each part of the table before it takes the first of all.
+    """
+    return counts.filter(F.length("token") > 0).orderBy(F.col("n").desc(), "token").limit(most).select("token", "n")
 
 
 class Numbers(dict):
@@ -145,10 +143,10 @@ def _exchanged(batches: Iterator[pa.RecordBatch], own: np.ndarray, matrix: np.nd
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best)], ["word", "class"])
 
 
-def exchange(partial: DataFrame, size: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+def exchange(partial: DataFrame, size: int, settings: Settings, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of each of the ``size`` + 2 token numbers, and the matrix of class pair counts.
 
-    partial: pair, n (in parts). Distributed exchange: in a round the counts of each word with the classes
+    partial: pair, n (in parts). frequency: tokens of each number, the other words and the end. Distributed exchange: in a round the counts of each word with the classes
     next to it are summed over all pairs, and every word's best class is found by itself against the matrix
     of the round's start. A random half of the words may move in a round, so that words do not change
     places for ever, and the best classes of all rounds count. The pairs are written twice, dealt by their first and by their second word, so that the
@@ -160,8 +158,14 @@ def exchange(partial: DataFrame, size: int, settings: Settings) -> tuple[np.ndar
     own = np.arange(size + 2) % settings.classes
     own[size], own[size + 1] = k - 2, k - 1
     split = partial.select(F.shiftright("pair", SHIFT).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int").alias("b"), "n")
-    by_first = settle(split.repartition("a").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    by_second = settle(by_first.repartition("b").sortWithinPartitions("b"))
+    # numbers go by frequency, so the hot words are known: each of them makes up to HOT_SHARE of all tokens or more
+    hot = [int(i) for i in np.flatnonzero(frequency >= HOT_SHARE * max(1.0, frequency.sum()))]
+
+    def salted(word: str, other: str) -> Column:
+        return F.when(F.col(word).isin(hot), F.pmod(F.xxhash64(other), F.lit(HOT_PARTS))).otherwise(0)
+
+    by_first = settle(split.withColumn("salt", salted("a", "b")).repartition("a", "salt").groupBy("a", "salt", "b").agg(F.sum("n").alias("n")).drop("salt"))
+    by_second = settle(by_first.withColumn("salt", salted("b", "a")).repartition("b", "salt").sortWithinPartitions("b").drop("salt"))
 
     def table(columns: str) -> DataFrame:
         frame = spark.createDataFrame(pa.table({"w": pa.array(np.arange(size + 2), pa.int32()), "c": pa.array(own, pa.int32())}))
@@ -175,14 +179,16 @@ def exchange(partial: DataFrame, size: int, settings: Settings) -> tuple[np.ndar
         return matrix
 
     best: tuple[float, np.ndarray, np.ndarray] | None = None
+    reached: list[float] = []
     for turn in range(settings.rounds + 1):
         matrix = class_pairs()
         value = float(_weighed(matrix).sum() - _weighed(matrix.sum(0)).sum() - _weighed(matrix.sum(1)).sum())
         if best is None or value > best[0]:
             best = value, own.copy(), matrix
-        if turn == settings.rounds:
+        reached.append(best[0])
+        if turn == settings.rounds or turn >= 2 and reached[-1] - reached[-3] <= SMALL * (reached[-1] - reached[0]):
             break
-        moves = lambda word: (F.col(word) < size) & (F.pmod(F.xxhash64(word, F.lit(turn)), F.lit(2)) == 0)
+        moves = lambda word: (F.col(word) < size) & (F.pmod(F.xxhash64(word) + turn, F.lit(2)) == 0)
         after = by_first.filter(moves("a")).join(table("b c"), "b").groupBy(F.col("a").alias("word"), "c").agg(F.sum("n").alias("n"))
         before = by_second.filter(moves("b")).join(table("a c"), "a").groupBy(F.col("b").alias("word"), (F.col("c") + k).alias("c")).agg(F.sum("n").alias("n"))
         near = after.union(before).groupBy("word").agg(F.collect_list(F.struct("c", "n")).alias("near"))
@@ -247,7 +253,7 @@ def class_scores(docs: DataFrame, held_out, settings: Settings = Settings(), doc
     n_other, different_other = total - ends - n_head.sum(), different - (ends > 0) - size
     shared = spark.sparkContext.broadcast(tokens)
     partial = learn.select("text").mapInArrow(lambda batches: _count_pairs(batches, shared), "pair long, n long")
-    classes, matrix = exchange(partial, size, settings)
+    classes, matrix = exchange(partial, size, settings, np.concatenate([n_head, [n_other, ends]]))
 
     frequency = matrix.sum(0) + 1.0
     step = np.log10((matrix + settings.prior * frequency / frequency.sum()) / (matrix.sum(1) + settings.prior)[:, None])

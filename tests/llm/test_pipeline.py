@@ -245,3 +245,67 @@ def test_factorisation_machine_by_all_pairs():
 
 def test_lower_case_is_ascii_only():
     assert lower("ÀÉ AZ") == "ÀÉ az"
+
+
+def plain_class_model(train, classes, size_classes, prior, vocabulary):
+    """Transition and emission probabilities from given classes, by counting in plain code.
+
+    Returns p(token, before), before and token as words, END None; words outside the vocabulary are class 'other'.
+    """
+    def of(word):
+        return "end" if word is None else classes.get(word, "other")
+
+    pairs, into, words_in, words_n = Counter(), Counter(), Counter(), Counter()
+    every = sorted({*map(str, range(size_classes)), "other", "end"})
+    for line in train:
+        for a, b in zip([None, *line], [*line, None]):
+            pairs[of(a), of(b)] += 1
+            into[of(b)] += 1
+            words_in[of(b)] += 1
+            words_n[b] += 1
+    share = {c: into[c] + 1.0 for c in every}
+    total = sum(share.values())
+    leaves = Counter()
+    for (a, _), n in pairs.items():
+        leaves[a] += n
+    others = [w for w in words_n if w is not None and w not in classes]
+
+    def p(token, before):
+        a, b = of(before), of(token)
+        step = (pairs[a, b] + prior * share[b] / total) / (leaves[a] + prior)
+        if b == "end":
+            return step
+        if b == "other":
+            return step * (words_n[token] + 1) / (sum(words_n[w] for w in others) + len(others) + 1)
+        return step * words_n[token] / words_in[b]
+
+    return p, words_n
+
+
+@pytest.mark.parametrize("vocabulary", [6, 1_000])
+def test_class_model_by_plain_counts(spark, monkeypatch, vocabulary):
+    """Scores equal probabilities counted in plain code from the same classes, and these sum to 1 in every context."""
+    from changeledger.llm import brown
+
+    found = []
+    exchange = brown.exchange
+    monkeypatch.setattr(brown, "exchange", lambda *a: found.append(exchange(*a)) or found[-1])
+    monkeypatch.setattr(brown, "HOT_SHARE", 0.05)
+    r = random.Random(6)
+    texts = [" ".join(r.choices([f"n{i}" for i in range(9)] + ["Und", "und"], k=r.randint(0, 12))) for _ in range(80)] + [None, "rare words only"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 2
+    settings = brown.Settings(vocabulary=vocabulary, classes=3, rounds=6)
+    rows = {x.doc_id: x for x in brown.class_scores(frame, held, settings).collect()}
+    train = [words(t) for i, t in enumerate(texts) if i % 5 != 2]
+    counts = Counter(w for line in train for w in line)
+    head = sorted(counts, key=lambda w: (-counts[w], w))[:vocabulary]
+    own, _ = found[0]
+    classes = {w: str(own[i]) for i, w in enumerate(head)}
+    p, known = plain_class_model(train, classes, settings.classes, settings.prior, head)
+    for i, text in enumerate(texts):
+        line = words(text)
+        want = sum(math.log10(p(b, a)) for a, b in zip([None, *line], [*line, None]))
+        assert rows[i].score == pytest.approx(want, abs=1e-9), text
+    for before in [None, *head[:4], "never seen"]:
+        assert sum(p(w, before) for w in known) + p("never seen", before) == pytest.approx(1, abs=1e-9)
