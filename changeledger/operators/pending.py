@@ -21,62 +21,59 @@ def failed_gate(ledger: DataFrame) -> DataFrame:
     return failed.groupBy("target").agg(F.min_by("script", "installed_rank").alias("script"))
 
 
-def _recorded(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(latest, special): the latest record of each item but for baselines (target, item_key, last), and
-    what holds targets back (target, failed, floor)."""
+def _recorded(ledger: DataFrame) -> DataFrame:
+    """Per item: the latest record but for baselines (``last``), whether any failed, and the highest baseline."""
     if is_snapshot(ledger):
-        return (ledger.filter("last IS NOT NULL").select("target", "item_key", "last"),
-                ledger.filter("failed IS NOT NULL OR floor IS NOT NULL").select(
-                    "target", F.col("failed").isNotNull().alias("failed"), "floor"))
-    ledger = prepare_ledger(ledger)
-    latest = ledger.filter(F.col("type") != BASELINE).groupBy("target", "item_key").agg(
-        F.max_by(F.struct("type", "vsort", "checksum"), "installed_rank").alias("last"))
-    special = ledger.filter((F.col("type") == BASELINE) | ~F.col("success"))
-    return latest, special.select("target", (~F.col("success")).alias("failed"),
-                                  F.when(F.col("type") == BASELINE, F.col("vsort")).alias("floor"))
-
-
-def _target_facts(items: DataFrame, special: DataFrame, latest: DataFrame) -> DataFrame:
+        return ledger.select("target", "item_key", "last", F.col("failed").isNotNull().alias("item_failed"),
+                             F.col("floor").alias("item_floor"))
+    is_baseline = F.col("type") == BASELINE
+    return prepare_ledger(ledger).groupBy("target", "item_key").agg(
+        F.max_by(F.struct("type", "vsort", "checksum"), F.when(~is_baseline, F.col("installed_rank"))).alias("last"),
+        F.bool_or(~F.col("success")).alias("item_failed"),
+        F.max(F.when(is_baseline, F.col("vsort"))).alias("item_floor"))
+
+
+def _target_facts(items: DataFrame, recorded: DataFrame) -> DataFrame:
     """Per target: failed gate, baseline floor, highest applied version, number of items."""
-    parts = [
-        special,
-        latest.select("target", F.when(F.col("last.type") != UNDO_SQL, F.col("last.vsort"))
-                      .alias("highest")),
-        items.select("target", F.lit(1).alias("item")),
-    ]
-    facts = parts[0]
-    for part in parts[1:]:
-        facts = facts.unionByName(part, allowMissingColumns=True)
-    return facts.groupBy("target").agg(
+    done = F.when(F.col("last.type") != UNDO_SQL, F.col("last.vsort"))
+    parts = recorded.select("target", F.col("item_failed").alias("failed"), F.col("item_floor").alias("floor"),
+                            done.alias("highest"), F.lit(None).cast("int").alias("item"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("failed", "boolean"), ("floor", "string"), ("highest", "string"))]
+    return parts.unionByName(items.select("target", *none, F.lit(1).alias("item"))).groupBy("target").agg(
         F.bool_or("failed").alias("failed"), F.max("floor").alias("floor"),
         F.max("highest").alias("highest"), F.count("item").alias("items"))
 
 
 def verdicts(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection = EVERYTHING,
-             out_of_order: bool = False) -> DataFrame:
+             out_of_order: bool = False, several_uses: bool = False) -> DataFrame:
     """Selected catalog items with a ``verdict``: pending, blocked, out_of_order,
     skip_baseline, skip_applied or skip_unchanged.
 
     Baseline records set the floor but do not count as applied versions here.
-    What is known about targets is computed first, in a job of its own, and meets
-    the items in one join.
+    What is known about targets meets the items in one join.  The ledger is aggregated
+    once: the join and the facts about targets use the same rows per item, with all
+    of their columns, so that one shuffle serves both.  With ``several_uses`` of the
+    result the facts are computed first, in a job of their own.
     """
     items = executable(prepare_catalog(catalog)).filter(selection.predicate())
-    latest, special = _recorded(ledger)
-    rows = lookup(items.join(latest, ["target", "item_key"], "left"),
-                  fixed(_target_facts(items, special, latest)), on=["target"], spread_by=["item_key"],
+    recorded = _recorded(ledger)
+    facts = _target_facts(items, recorded)
+    rows = lookup(items.join(recorded, ["target", "item_key"], "left"),
+                  fixed(facts) if several_uses else facts, on=["target"], spread_by=["item_key"],
                   weight="items")
 
     versioned = F.col("vsort").isNotNull()
     newer = F.col("highest").isNull() | (F.col("vsort") > F.col("highest"))
     unchanged = F.col("checksum").isNull() | F.col("checksum").eqNullSafe(F.col("last.checksum"))
-    verdict = (F.when(F.col("failed"), "blocked")
-               .when(versioned & (F.col("vsort") <= F.col("floor")), "skip_baseline")
+    # an item's own failure or baseline is one of its target's
+    failed = F.coalesce("failed", "item_failed") | F.coalesce("item_failed", F.lit(False))
+    verdict = (F.when(failed, "blocked")
+               .when(versioned & (F.col("vsort") <= F.greatest("floor", "item_floor")), "skip_baseline")
                .when(versioned & (F.col("last.type") != UNDO_SQL), "skip_applied")
                .when(versioned & ~newer & F.lit(not out_of_order), "out_of_order")
                .when(~versioned & F.col("last").isNotNull() & unchanged, "skip_unchanged")
                .otherwise("pending"))
-    return rows.withColumn("verdict", verdict).drop("last", "failed", "floor", "highest")
+    return rows.withColumn("verdict", verdict).drop("last", "item_failed", "item_floor", "failed", "floor", "highest")
 
 
 def pending(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection = EVERYTHING,
@@ -88,7 +85,7 @@ def pending(catalog: DataFrame, ledger: DataFrame, selection: VersionSelection =
     ``held`` (target, items) names more targets that get none, each with the
     number of its items, or about that.
     """
-    judged = verdicts(catalog, ledger, selection, out_of_order)
+    judged = verdicts(catalog, ledger, selection, out_of_order, several_uses=not out_of_order)
     todo = judged.filter(F.col("verdict") == "pending").drop("verdict")
     if not out_of_order:
         late = judged.groupBy("target").agg(

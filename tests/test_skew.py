@@ -76,3 +76,14 @@ def test_operators_with_hot_keys(monkeypatch, catalog, ledger):
                         rows(repair(items, records)[0], "target", "installed_rank", "checksum")))
     assert results[0] == results[1]
     assert [len(r) for r in results[0]] == [44, 24, 79]
+
+
+def test_a_default_plan_reads_its_tables_few_times(spark):
+    """Scans and shuffles of the whole plan, before equal shuffles are used again; more of them means that a part is
+    planned once more."""
+    from workload import spark_queries
+
+    for name, scans, shuffles in (("plan_default", 12, 8), ("pending_all", 21, 11)):
+        plan = spark_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        found = plan.count("FileScan") + plan.count("Scan ExistingRDD"), plan.count("Exchange hashpartitioning")
+        assert found[0] <= scans and found[1] <= shuffles, (name, found)

@@ -10,14 +10,22 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from changeledger.operators.distribute import use_checkpoint_dir
 from changeledger.schema import BASELINE, REPEATABLE, SQL, UNDO_SQL
 from changeledger.sources.commits import append_run
 
 
+#: Schemas of the given tables: files are asked for them once.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _versions(block: Column, alternate: bool = False) -> Column:
