@@ -1,11 +1,14 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from changeledger.functions import splitter
 from changeledger.functions.arrays import sums_before
 from changeledger.functions.checksum import script_checksum
 from changeledger.functions.placeholders import substitute, undefined_placeholders
@@ -144,6 +147,35 @@ def test_both_splitters_agree(spark):
             assert found[i] == list(split_text(text, dialect)), repr(text)
 
 
+@pytest.mark.parametrize("dialect", [MYSQL, ORACLE])
+def test_scanned_scripts_in_several_lots(spark, monkeypatch, dialect):
+    monkeypatch.setattr(splitter, "TOGETHER", 25)
+    texts = [None, "", "a;\nb;", "x" * 90 + ";y", None, "-- no code", "BEGIN c; d;\n/\n", "DELIMITER //\ne; f//"] * 6
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    found = {i: [] for i in range(len(texts))}
+    for r in split_statements(df, dialect).orderBy("i", "stmt_no").collect():
+        found[r.i].append((r.stmt_no, r.line, r.sql))
+    assert found == {i: [(n, *s) for n, s in enumerate(split_text(t or "", dialect), 1)] for i, t in enumerate(texts)}
+    kept = df.select("i", splitter.statements_of(F.col("text"), dialect).isNull().alias("none")).collect()
+    assert [r.none for r in sorted(kept)] == [t is None for t in texts]
+
+
+def test_memory_of_a_task_does_not_grow_with_its_batches(monkeypatch):
+    """The statements of a batch of scripts are never held together."""
+    monkeypatch.setattr(splitter, "TOGETHER", 1 << 13)
+
+    def peak(scripts):
+        texts = pa.array(["SELECT 1;\nSELECT 'a;b';\n" * 20] * scripts)
+        tracemalloc.start()
+        rows = sum(map(len, splitter._statement_arrays(iter([texts]), MYSQL)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == scripts
+        return most
+
+    assert peak(20) > 0 and peak(1000) < 2 * peak(100)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["SELECT 1", "x", "'a;b'", "-- c;\n y", "$$;$$", "/* ; */ z"]), max_size=8))
 def test_joined_statements_come_apart_again(statements):
